@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, langid, simhash
+from weftgraph.llm import decontaminate, langid, simhash, tokenstore
 from weftgraph.llm.common import table
 from weftgraph.plans.scratch import Scratch
 
@@ -19,6 +19,23 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def tokenizer_path(spark: SparkSession, name: str) -> str:
+    """Where a tokenizer file is: under the folder in spark.weftgraph.tokenizers, else in the installed package."""
+    folder = spark.conf.get("spark.weftgraph.tokenizers", None)
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op3")
+    path = scratch.path("store")
+    tokenstore.write_store(table(spark, sf_dir, "documents"), path, scratch, tokenizer_path(spark, "word_bpe_49k.json"), end_id=2)
+    return tokenstore.read_store(spark, path, with_ids=False)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -27,6 +44,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
+    "op3_token_store": op3_token_store,
     "op8_langid": op8_langid,
 }
 
