@@ -35,14 +35,14 @@ def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in col.cast(kind).to_pylist()]
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, at_once: int = SLICE) -> DataFrame:
     """Runs a batch function over small slices; ``make`` is called once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                yield f(batch.slice(at, SLICE))
+            for at in range(0, batch.num_rows, at_once):
+                yield f(batch.slice(at, at_once))
 
     return df.mapInArrow(run, schema)
 

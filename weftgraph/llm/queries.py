@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, langid, simhash, tokenstore
+from weftgraph.llm import decontaminate, langid, packing, simhash, tokenstore
 from weftgraph.llm.common import table
 from weftgraph.plans.scratch import Scratch
 
@@ -36,6 +36,11 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(spark, path, with_ids=False)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return packing.pack(pieces, Scratch(spark, "op7"), capacity=2048)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_store": op3_token_store,
+    "op7_packing": op7_packing,
     "op8_langid": op8_langid,
 }
 
