@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, langid, packing, simhash, tokenstore
+from weftgraph.llm import decontaminate, langid, linededup, packing, simhash, tokenstore
 from weftgraph.llm.common import table
 from weftgraph.plans.scratch import Scratch
 
@@ -36,6 +37,12 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(spark, path, with_ids=False)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_boilerplate(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+    n_lines = F.greatest("__n_lines", F.lit(1)).alias("n_lines")  # a null text counts as one empty line
+    return kept.select("doc_id", "source", n_lines, F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"), capacity=2048, end_id=0)
     return packing.pack(pieces, Scratch(spark, "op7"), capacity=2048)
@@ -50,8 +57,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_store": op3_token_store,
+    "op4_line_dedup": op4_line_dedup,
     "op7_packing": op7_packing,
     "op8_langid": op8_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": linededup.ORACLE,
+}
