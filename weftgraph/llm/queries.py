@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, langid, linededup, packing, simhash, tokenstore
+from weftgraph.llm import decontaminate, langid, linededup, packing, quality, rules, simhash, tokenstore, toxicity
 from weftgraph.llm.common import table
 from weftgraph.plans.scratch import Scratch
 
@@ -53,13 +53,32 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op6"))
+    return toxicity.score(docs, model, threshold=0.7, locate=False)
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), Scratch(spark, "op9")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op10"))
+    return quality.score(docs, model, threshold=0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_store": op3_token_store,
     "op4_line_dedup": op4_line_dedup,
     "op7_packing": op7_packing,
+    "op6_toxicity": op6_toxicity,
     "op8_langid": op8_langid,
+    "op9_rules": op9_rules,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
