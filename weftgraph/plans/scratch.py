@@ -8,6 +8,7 @@ is a folder of our own set.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,19 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def delete(self, path: str) -> None:
+        _delete(self.spark, path)
+
+    def exists(self, path: str) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def release(self) -> None:
+        """Lets shuffle files of plans that nothing refers to any more go now; otherwise
+        they stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a written table that no later plan reads."""
         if path := getattr(df, "scratch_path", None):
