@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, langid, linededup, packing, quality, rules, simhash, tokenstore, toxicity
+from weftgraph.llm import decontaminate, langid, linededup, packing, quality, rules, simhash, substrings, tokenstore, toxicity
 from weftgraph.llm.common import table
 from weftgraph.plans.scratch import Scratch
 
@@ -43,6 +43,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", n_lines, F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), size=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"), capacity=2048, end_id=0)
     return packing.pack(pieces, Scratch(spark, "op7"), capacity=2048)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_token_store": op3_token_store,
     "op4_line_dedup": op4_line_dedup,
+    "op5_substrings": op5_substrings,
     "op7_packing": op7_packing,
     "op6_toxicity": op6_toxicity,
     "op8_langid": op8_langid,
