@@ -186,8 +186,9 @@ def identify(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     return map_slices(rows, make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, trees: Trees, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of df whose language is found with at least ``min_score``, as they were.
+def keep_identified(df: DataFrame, trees: Trees, min_score: float = 0.5, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows of df whose language is found with at least ``min_score``, as they were;
+    with ``lang_col`` that column becomes the language found.
 
     Rejected are texts without a letter (null and empty ones too) and those no language
     of which is likelier than the others together.
@@ -199,6 +200,9 @@ def keep_identified(df: DataFrame, trees: Trees, min_score: float = 0.5, text_co
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = model.predict(raw(batch, text_col))
+            if lang_col:
+                at = batch.schema.get_field_index(lang_col)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(langs, batch.schema.field(at).type))
             return batch.filter(pa.array([g != "und" and s >= min_score for g, s in zip(langs, scores)], pa.bool_()))
 
         return f
