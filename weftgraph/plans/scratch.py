@@ -79,3 +79,11 @@ class Scratch:
         """Deletes a written table that no later plan reads."""
         if path := getattr(df, "scratch_path", None):
             _delete(self.spark, path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once into the shared folder, its lineage cut and its partitioning kept."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
