@@ -1,0 +1,35 @@
+"""Scalar functions the operators share."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def random_weight(src: Column | str, dst: Column | str, seed: int = 1, most: int = 128) -> Column:
+    """A whole number from 1 to ``most``, the same for the same edge and seed."""
+    return F.pmod(F.xxhash64(F.col(src) if isinstance(src, str) else src, F.col(dst) if isinstance(dst, str) else dst, F.lit(seed)), F.lit(most)).cast("long") + 1
+
+
+def tokens(text: Column | str) -> Column:
+    """Runs of a-z after lower-casing, as an array without empty entries."""
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: x != "")
+
+
+def string_hash(text: Column | str, multiplier: int = 31, both_ways: bool = False) -> Column:
+    """A 64-bit hash of a string; with both_ways one that a string and its reversal share a part of."""
+    c = F.col(text) if isinstance(text, str) else text
+    one = F.xxhash64(c, F.lit(multiplier))
+    return one.bitwiseXOR(F.xxhash64(F.reverse(c), F.lit(multiplier))) if both_ways else one
+
+
+def bucket_id(id_col: Column | str, buckets: int, height: int) -> Column:
+    """A reversible permutation of 0 to buckets * height - 1 that deals neighbours to
+    different buckets; see bucket_id_back()."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return (c % buckets) * height + F.floor(c / buckets).cast("long")
+
+
+def bucket_id_back(dealt: Column | str, buckets: int, height: int) -> Column:
+    c = F.col(dealt) if isinstance(dealt, str) else dealt
+    return (c % height) * buckets + F.floor(c / height).cast("long")

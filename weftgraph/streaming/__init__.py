@@ -1,0 +1,13 @@
+"""Degrees kept up to date over a stream of edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, out_degree, in_degree) over a streaming (or plain) edges(src, dst): a running
+    aggregation with one row of state a vertex; repeated edges count as often as they come."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    return ends.groupBy("e.id").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
