@@ -25,18 +25,17 @@ def global_doc_ids(postings: DataFrame, counts: DataFrame | None = None) -> Data
     return postings.join(before, "part").withColumn("doc_id", F.col("doc_id") + F.col("before")).drop("before")
 
 
-def term_dictionary(postings: DataFrame, n_docs: int = 0, ranges: int = 64) -> DataFrame:
+def term_dictionary(postings: DataFrame, n_docs: int = 0, prefix: int = 3) -> DataFrame:
     """(term, term_id): dense numbers from n_docs + 1 in the terms' order.
 
-    Terms are dealt to ranges by sampled bounds, numbered within their range, and moved by
-    the sizes of the ranges before; no task sees all terms.
+    Terms are numbered among those that begin alike and moved by the sizes of the groups
+    before, so no task sees all terms; there is one row a group to sum over.
     """
-    terms = postings.select("term").distinct()
-    dealt = terms.repartitionByRange(ranges, "term").select("term", F.spark_partition_id().alias("r"))
-    own = dealt.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("term")))
-    sizes = own.groupBy("r").agg(F.max("k").alias("n"))
+    terms = postings.select("term").distinct().withColumn("r", F.substring("term", 1, prefix))
+    own = terms.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("term")))
+    sizes = terms.groupBy("r").agg(F.count("*").alias("n"))
     before = sizes.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("before"))
-    return own.join(F.broadcast(before), "r").select("term", (F.col("k") + F.col("before") + n_docs).cast("long").alias("term_id"))
+    return own.join(before, "r").select("term", (F.col("k") + F.col("before") + n_docs).cast("long").alias("term_id"))
 
 
 def build(postings: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
