@@ -44,8 +44,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _grams(ids: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k consecutive word numbers."""
-    n = len(ids) - k + 1
-    h = np.zeros(max(n, 0), np.uint64)
+    n = max(len(ids) - k + 1, 0)
+    h = np.zeros(n, np.uint64)
     for j in range(k):
         h = _mix(h * _MULTIPLIER + ids[j : j + n].astype(np.uint64))
     return h
