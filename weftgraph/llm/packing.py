@@ -60,7 +60,9 @@ def cut(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, wi
 class Plan:
     """Intervals (length, first rank, count, first sequence, offset) for a histogram."""
 
-    def __init__(self, counts: dict[int, int], capacity: int):
+    def __init__(self, counts: dict[int, int], capacity: int, most: int = 3):
+        """``most``: of how many lengths a complement may be."""
+        self.most = most
         self.capacity, self.left = capacity, np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             if not 0 < length <= capacity:
@@ -70,7 +72,7 @@ class Plan:
         self.sequences = 0
         self.rows: list[tuple[int, int, int, int, int]] = []
         for length in range(capacity, 0, -1):
-            while self.left[length] and (fill := self._complement(length)) is not None:
+            while most and self.left[length] and (fill := self._complement(length)) is not None:
                 need = Counter([length, *fill])
                 times = min(int(self.left[x]) // m for x, m in need.items())
                 self._open([length, *fill], times)
@@ -79,6 +81,12 @@ class Plan:
         self.key, self.sequence, self.offset = (rows[:, 0] << 44) + rows[:, 1], rows[:, 3], rows[:, 4]
         self.rank = rows[:, 1]
 
+    @classmethod
+    def of(cls, counts: dict[int, int], capacity: int) -> Plan:
+        """The plan of fewest sequences.  Triples nearly always give it; where short pieces
+        are scarce they use them up too early, and smaller complements do better."""
+        return min((cls(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: p.sequences)
+
     def _place(self, length: int, count: int, sequence: int, offset: int) -> None:
         self.rows.append((length, int(self.used[length]), count, sequence, offset))
         self.used[length] += count
@@ -103,8 +111,12 @@ class Plan:
         left[length] -= 1
         if left[gap] > 0:
             return [gap]
+        if self.most < 2:
+            return None
         if (pair := self._pair(left, gap)) is not None:
             return pair
+        if self.most < 3:
+            return None
         for a in (np.flatnonzero(left[1 : gap - 1] > 0) + 1)[::-1].tolist():
             left[a] -= 1
             if (pair := self._pair(left, gap - a)) is not None:
@@ -169,7 +181,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 2048) -> DataFrame
     spark = pieces.sparkSession
     pieces = scratch.write(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # as many rows as lengths
-    sent = spark.sparkContext.broadcast(Plan(counts, capacity))
+    sent = spark.sparkContext.broadcast(Plan.of(counts, capacity))
     buckets = max(8, sum(counts.values()) // BUCKET_ROWS + 1)
     dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
