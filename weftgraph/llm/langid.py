@@ -65,7 +65,7 @@ class Trees:
         self.row = (np.arange(a**k) % a ** (k - 1)).astype(np.int32)
         self.row[full] = len(cost) + np.arange(len(full))
         longest = self._extend(cost, full, suffix, counts[k])
-        self.cost = np.concatenate((cost, longest)).reshape(-1, n)
+        self.cost = np.concatenate((cost, longest)).reshape(-1, n) if n else np.zeros((0, 0), np.float32)
 
     def _bytes(self, counts, k: int) -> int:
         a, n = self.size, max(1, len(self.langs))

@@ -57,6 +57,8 @@ class Model:
         self.labels, self.weights = labels.astype(np.float32), weights.astype(np.float32)
         self.base = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.5
         self.rarity = np.ones(at, np.float32)
+        if not len(labels):
+            return
         raw_rows = self.rows(texts, found)
         self.rarity = np.log((1 + len(texts)) / (1 + (raw_rows > 0).sum(0))).astype(np.float32) + 1
         rows = self._unit(raw_rows * self.rarity)

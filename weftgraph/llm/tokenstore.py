@@ -43,6 +43,7 @@ SHARD_BYTES = 4 << 20
 #: Up to so many shards their places are broadcast.
 BROADCAST_SHARDS = 500_000
 NO_ID = -(1 << 63)
+_SHARDS = "first_id long, first_h long, part_shard long, n_docs long, n_tokens long, data binary"
 
 
 def ids_of(path: str, end_id: int):
@@ -151,7 +152,7 @@ def write_store(df: DataFrame, path: str, scratch: Scratch, tokenizer: str, end_
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "frame").select("h", "doc_id", "n", "frame")
-    ordered.mapInArrow(gather, "first_id long, first_h long, part_shard long, n_docs long, n_tokens long, data binary").write.parquet(f"{path}/shards")
+    ordered.mapInArrow(gather, _SHARDS).write.parquet(f"{path}/shards")
     scratch.drop(frames)
 
 
@@ -161,7 +162,7 @@ def open_store(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
     dictionary = bytes(row["dictionary"])
     if hashlib.sha256(dictionary).hexdigest() != row["sha256"]:
         raise ValueError("the dictionary does not have its hash")
-    shards = spark.read.parquet(f"{path}/shards")
+    shards = spark.read.schema(_SHARDS).parquet(f"{path}/shards")
     # the window sees a few numbers for each shard of megabytes, not the shards
     place = ["first_id", "first_h", "part_shard"]
     starts = shards.select(*place, (F.sum("n_tokens").over(Window.orderBy(*place)) - F.col("n_tokens")).alias("start"))
