@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.plans.scratch import cut
+
 K1, B, MU = 1.2, 0.75, 2000.0
 
 
@@ -48,7 +50,9 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
 
 def _matches(postings: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
     """Postings of the queries' distinct known terms, with the document's length and the
-    collection's tokens.  Only documents and terms that some query needs are kept."""
+    collection's tokens.  Only documents and terms that some query needs are kept; the
+    postings, which four parts of the plan read, are made once."""
+    postings = cut(postings)
     asked = terms.select("qid", "term").distinct()
     hits = postings.join(asked, "term")
     stats = collection_stats(postings, n_docs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.plans.scratch import cut
@@ -14,24 +14,32 @@ def simulate(edges: DataFrame, labels: DataFrame, pattern_edges: DataFrame, patt
 
     labels(id, label) may lack vertices, which then match nothing; pattern_edges(src, dst)
     and pattern_labels(q, label) are small and broadcast.  Repeated labels are allowed.
+
+    Which pair an edge of the data lets another pair rest on is worked out once, from the
+    labels.  A round then keeps what rests on pairs that are left, and pairs all of whose
+    pattern edges are met; it is one semi-join and two aggregations, and its size is
+    observed in its own job.
     """
-    pattern = F.broadcast(pattern_edges.distinct())
-    need = F.broadcast(pattern_edges.distinct().groupBy(F.col("src").alias("q")).agg(F.count("*").alias("need")))
-    relation = cut(labels.join(F.broadcast(pattern_labels), "label").select("id", "q").join(need, "q", "left").select("id", "q", F.coalesce("need", F.lit(0)).alias("need")))
-    size = relation.count()
-    edges = edges.select("src", "dst").persist()
-    for _ in range(limit):
-        child = relation.select(F.col("id").alias("dst"), F.col("q").alias("q2"))
-        # (parent, q) pairs that each child pair supports, counted by the pattern edges they cover
-        met = child.join(pattern.select(F.col("src").alias("q"), F.col("dst").alias("q2")), "q2")
-        held = edges.join(met, "dst").select(F.col("src").alias("id"), "q", "q2").distinct().groupBy("id", "q").agg(F.count("*").alias("met"))
-        relation = cut(relation.join(held, ["id", "q"], "left").where(F.coalesce("met", F.lit(0)) >= F.col("need")).select("id", "q", "need"))
-        now = relation.count()
-        if now == size:
+    pattern = pattern_edges.select(F.col("src").alias("q"), F.col("dst").alias("q2")).distinct()
+    need = F.broadcast(pattern.groupBy("q").agg(F.count("*").alias("need")))
+    pairs = labels.join(F.broadcast(pattern_labels), "label").select("id", "q").distinct().join(need, "q", "left")
+    seen = Observation("pairs")
+    pairs = cut(pairs.select("id", "q", F.coalesce("need", F.lit(0)).alias("need")).observe(seen, F.count("*").alias("n"), F.count_if(F.col("need") > 0).alias("open")))
+    leaves, size = pairs.where("need = 0").select("id", "q"), seen.get["open"]
+    heads = pairs.where("need > 0").select(F.col("id").alias("src"), "q", "need")
+    tails = pairs.select(F.col("id").alias("dst"), F.col("q").alias("q2"))
+    rests = cut(edges.select("src", "dst").distinct().join(heads, "src").join(F.broadcast(pattern), "q").join(tails, ["dst", "q2"]).select(F.col("src").alias("id"), "q", "need", F.col("dst").alias("id2"), "q2"))
+    alive = pairs.select("id", "q")
+    for i in range(limit):
+        left = rests.join(alive.select(F.col("id").alias("id2"), F.col("q").alias("q2")), ["id2", "q2"], "left_semi")
+        met = left.select("id", "q", "need", "q2").distinct().groupBy("id", "q").agg(F.count("*").alias("met"), F.first("need").alias("need"))
+        seen = Observation(f"round{i}")
+        inner = cut(met.where("met >= need").select("id", "q").observe(seen, F.count("*").alias("n")))
+        alive = leaves.unionAll(inner)
+        if seen.get["n"] == size:
             break
-        size = now
-    edges.unpersist()
-    return relation.select("id", "q")
+        size = seen.get["n"]
+    return alive
 
 
 def matched(relation: DataFrame) -> DataFrame:
