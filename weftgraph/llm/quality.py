@@ -22,6 +22,8 @@ from weftgraph.plans.scratch import Scratch
 
 #: Bound of the labelled vectors: documents of each class, and their dimensions.
 TRAIN_DOCS, DIMENSIONS = 1500, 48
+#: What the two counts of repetition weigh against one term.
+EMPHASIS = 4
 #: Terms of each kind, and neighbours that vote.
 SHAPES, WORDS, NEIGHBOURS, POWER = 400, 600, 15, 8
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c > 127 else 48 if 48 <= c <= 57 else c for c in range(256))
@@ -76,7 +78,9 @@ class Model:
             for part, counts in zip((self.shape, self.word, self.other), kinds):
                 for x in part.keys() & counts.keys():
                     out[r, part[x]] = counts[x]
-        return np.log1p(out)
+        out = np.log1p(out)
+        out[:, self.size - len(self.other) :] *= EMPHASIS
+        return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """The share of label 1 in the votes of the nearest; the sample's share of it for
