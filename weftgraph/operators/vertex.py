@@ -38,6 +38,19 @@ def display(state: DataFrame, n: int, most: int = 30) -> DataFrame:
     return state.where(F.col("id") <= min(n, most)).orderBy("id")
 
 
+def reset_activity(state: DataFrame) -> DataFrame:
+    return state.withColumn("active", F.lit(False))
+
+
+def activate_all(state: DataFrame) -> DataFrame:
+    return state.withColumn("active", F.lit(True))
+
+
+def of_side(state: DataFrame, n_left: int, left: bool = True) -> DataFrame:
+    """The states of the left or the right vertices of a bipartite graph."""
+    return state.where(F.col("id") <= n_left if left else F.col("id") > n_left)
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").union(b.select("id")).distinct()
 

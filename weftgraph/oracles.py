@@ -122,6 +122,8 @@ ORACLES: dict[str, str] = {
     "in_neighbors_sorted": f"SELECT dst AS id, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS neighbours FROM ({_DAG}) GROUP BY dst",
     "vertex_program_one_round": _program(1),
     "vertex_program_three_rounds": _program(3),
+    "init_from_state": _with(**_MIXED, o=_OUT) + "SELECT o.id, o.degree AS own, CAST(coalesce(s.x, 0) AS BIGINT) AS around FROM o LEFT JOIN (SELECT e.dst, sum(o.degree) AS x FROM e JOIN o ON o.id = e.src GROUP BY e.dst) s ON s.dst = o.id",
+    "bipartite_round": "WITH b AS (SELECT DISTINCT l_partkey + 1 AS src, l_suppkey + 1 + (SELECT count(*) FROM part) AS dst FROM lineitem), u AS (SELECT unnest(range((SELECT count(*) FROM part) + 1, (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + 1)) AS id) SELECT u.id, CAST(coalesce(sum(b.src), 0) AS BIGINT) AS total FROM u LEFT JOIN b ON b.dst = u.id GROUP BY u.id",
     "reduce_active": _with(**_MIXED) + f"SELECT max(degree) AS degree FROM ({_IN}) WHERE degree > 5",
     "btopk": _with(**_MIXED, a=_IN, b=_OUT) + "SELECT batch, rank, id, value FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY value DESC, id) AS rank FROM (SELECT CAST(0 AS BIGINT) AS batch, id, degree AS value FROM a UNION ALL SELECT 1, id, degree FROM b UNION ALL SELECT 2, a.id, a.degree + b.degree FROM a JOIN b ON a.id = b.id)) WHERE rank <= 5",
     "subset_init": f"SELECT id, id * 2 AS value, id % 10 = 0 AS active FROM ({_V})",

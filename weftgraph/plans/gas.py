@@ -88,6 +88,10 @@ def run(program: VertexProgram, graph: Graph, max_iters: int | None = None, defe
     Convergence is a round in which no vertex that has edges in and out was moved.  With
     ``defer_sinks`` vertices that only receive are left out of the rounds and computed once
     after them, from all final states; with one round they are part of it.
+
+    state(id, ...) is where another program ended: init may use its columns, so programs
+    follow each other on one graph or on a graph and its reversal.  subset(id) limits who
+    sends at first.
     """
     vertices = state if state is not None else graph.vertices
     first = program.initialise(vertices, subset)
@@ -100,7 +104,8 @@ def run(program: VertexProgram, graph: Graph, max_iters: int | None = None, defe
         sinks = now.where("kind = 'sink'").select(F.col("id").alias("dst"))
         to_sinks = edges.join(sinks, "dst", "left_semi")
         edges = edges.join(sinks, "dst", "left_anti")
-    edges = edges.persist()
+    # dealt by source once, so that a round shuffles messages and not edges
+    edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").persist()
     snapshot = now if program.uses_dst_state else None
     start = now.where("active")
     rounds = 0

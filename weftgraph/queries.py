@@ -122,10 +122,12 @@ QUERIES: dict[str, Query] = {
     "cc": lambda s, d: analytics.connected_components(graph(s, d, "mix", undirected=True)),
     "cc_checksum": lambda s, d: vertex.reduce(analytics.connected_components(graph(s, d, "mix", undirected=True)), F.col("label"), name="labels"),
     "triangles_per_vertex": lambda s, d: analytics.triangles(raw_edges(s, d), top_id(s, d)),
-    "triangles_total": lambda s, d: analytics.triangles(raw_edges(s, d), top_id(s, d)).agg(F.sum("triangles").alias("triangles")),
+    "triangles_total": lambda s, d: analytics.triangle_total(raw_edges(s, d)),
     "in_neighbors_sorted": lambda s, d: analytics.in_neighbours(Graph.directed(raw_edges(s, d).select("src", "dst"), top_id(s, d), acyclic=True)).select("id", F.concat_ws(",", F.transform("neighbours", lambda x: x.cast("string"))).alias("neighbours")),
     "vertex_program_one_round": lambda s, d: _weighted_in(s, d, 1),
     "vertex_program_three_rounds": lambda s, d: _weighted_in(s, d, 3),
+    "init_from_state": lambda s, d: _seeded(s, d),
+    "bipartite_round": lambda s, d: _bipartite_round(s, d),
     "reduce_active": lambda s, d: vertex.reduce(analytics.in_degree(graph(s, d, "mix")).withColumn("active", F.col("degree") > 5), F.col("degree"), F.max, active_only=True, name="degree"),
     "btopk": lambda s, d: vertex.batched_topk(analytics.in_degree(graph(s, d, "mix")).join(analytics.out_degree(graph(s, d, "mix")).withColumnRenamed("degree", "out"), "id"), 5, F.array("degree", "out", F.col("degree") + F.col("out"))).withColumn("rank", F.col("rank").cast("long")).withColumn("batch", F.col("batch").cast("long")),
     "subset_init": lambda s, d: VertexProgram(init={"value": F.col("id") * 2}, active=F.lit(True), message=F.col("value"), combine=F.sum, apply=lambda i: {}).initialise(graph(s, d).vertices, s.range(0, top_id(s, d) + 1, 10)),
@@ -147,6 +149,23 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program that starts from where another ended: degrees summed over in-neighbours."""
+    g = graph(spark, sf_dir, "mix")
+    degrees = analytics.out_degree(g)
+    program = VertexProgram(init={"own": F.col("degree"), "around": F.lit(0).cast("long")}, active=F.col("degree") > 0, message=F.col("own"), combine=F.sum, apply=lambda i: {"around": F.col("acc")})
+    return run(program, g, 1, state=degrees).select("id", "own", "around")
+
+
+def _bipartite_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round over an undirected bipartite graph in which only the left side sends."""
+    n_left = _read(spark, sf_dir, "part").count()
+    edges = _read(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 1).alias("src"), (F.col("l_suppkey") + 1).alias("dst"))
+    g = Graph.bipartite(edges, n_left, _read(spark, sf_dir, "supplier").count(), directed=False)
+    program = VertexProgram(init={"total": F.lit(0).cast("long")}, active=F.col("id") <= n_left, message=F.col("id"), combine=F.sum, apply=lambda i: {"total": F.col("acc")})
+    return vertex.of_side(run(program, g, 1), n_left, left=False).select("id", "total")
+
+
 def _parted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of documents dealt to four parts, numbered anew in each."""
     own = postings(spark, sf_dir)
