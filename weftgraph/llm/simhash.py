@@ -194,7 +194,8 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     component_id is the smallest doc_id that links of at most ``budget`` differing bits
     can reach.  Texts without words (empty or null) have fingerprint 0 and link like any
     other.  A row with a null id gets its class, or null where no row of its fingerprint
-    has an id.  Repeated rows come back repeated; an empty table gives no rows.
+    has an id.  Rows that share an id are one document to the links: the classes of their
+    fingerprints are one.  Repeated rows come back repeated; an empty table gives no rows.
     """
     fps = scratch.write(fingerprints(df, id_col, text_col, words_per_shingle), "fingerprints")
     leaves = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "leaves")
