@@ -33,7 +33,9 @@ from weftgraph.llm.common import documents
 from weftgraph.plans.scratch import Scratch
 
 #: Words of a chunk: a mapper sends each different window of a chunk once.
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 19
+#: Words hashed at a time.
+BLOCK_WORDS = 1 << 16
 #: Text bytes that one bucket stands for, so that it fits a task.
 BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
 #: Batches that a table is taken in, and runs of a level before they are merged.
@@ -55,17 +57,19 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     inside = ~_SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    lengths = ends - starts
-    longest = int(lengths.max())
+    starts, lengths = edge[::2], np.diff(edge)[::2]
+    out = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(longest, _BYTE, np.uint64))
-        where = np.flatnonzero(inside)
-        first = np.cumsum(lengths) - lengths
-        value = (b[where].astype(np.uint64) + np.uint64(1)) * power[np.arange(len(where)) - np.repeat(first, lengths)]
-        return _mix(np.add.reduceat(value, first)), starts
+        power = np.cumprod(np.full(int(lengths.max(initial=0)), _BYTE, np.uint64))
+        for at in range(0, len(starts), BLOCK_WORDS):  # eight bytes for each byte of a block
+            n = lengths[at : at + BLOCK_WORDS]
+            first = np.cumsum(n) - n
+            place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+            value = power[place]
+            place += np.repeat(starts[at : at + BLOCK_WORDS], n)
+            value *= b[place].astype(np.uint64) + np.uint64(1)
+            out[at : at + BLOCK_WORDS] = np.add.reduceat(value, first)
+        return _mix(out), starts
 
 
 def window_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
