@@ -33,11 +33,11 @@ from weftgraph.llm.common import documents
 from weftgraph.plans.scratch import Scratch
 
 #: Words of a chunk: a mapper sends each different window of a chunk once.
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 3 << 17
 #: Words hashed at a time.
 BLOCK_WORDS = 1 << 16
 #: Text bytes that one bucket stands for, so that it fits a task.
-BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
+BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 48
 #: Batches that a table is taken in, and runs of a level before they are merged.
 BATCHES, FANOUT = 10, 4
 NO_ID = -(1 << 63)
