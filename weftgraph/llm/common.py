@@ -10,6 +10,7 @@ empty result with the same columns.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,3 +56,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 def bounded_sample(df: DataFrame, id_col: str, cap: int, salt: int = 0) -> DataFrame:
     """The ``cap`` rows whose salted id hash is smallest: the same rows at any partitioning."""
     return df.orderBy(F.xxhash64(F.col(id_col), F.lit(salt)), F.col(id_col)).limit(cap)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int, size: str) -> Iterator[None]:
+    """Inside, jobs that begin hand Python at most so many rows and bytes at a time."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -29,11 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents
+from weftgraph.llm.common import batches_of, documents
 from weftgraph.plans.scratch import Scratch
 
 #: Words of a chunk: a mapper sends each different window of a chunk once.
-CHUNK_WORDS = 3 << 17
+CHUNK_WORDS = 1 << 18
 #: Words hashed at a time.
 BLOCK_WORDS = 1 << 16
 #: Text bytes that one bucket stands for, so that it fits a task.
@@ -364,10 +364,11 @@ def dedup(df: DataFrame, scratch: Scratch, size: int = 20, batches: int = BATCHE
         if i < len(bounds):
             part = part.where((F.col("doc_id") < bounds[i]) | (F.col("doc_id").isNull() if i == 0 else F.lit(False)))
         chunked, joined = scratch.path("chunks"), scratch.path("joined")
-        _rows_of(part, size, own.buckets, chunk_words).write.partitionBy("kind").parquet(chunked)
-        own.merge_join(kind([chunked], 0)).write.partitionBy("kind").parquet(joined)
-        scratch.delete(f"{chunked}/kind=0")
-        own.append(kind([joined], 0))
+        with batches_of(spark, 1000, "4m"):
+            _rows_of(part, size, own.buckets, chunk_words).write.partitionBy("kind").parquet(chunked)
+            own.merge_join(kind([chunked], 0)).write.partitionBy("kind").parquet(joined)
+            scratch.delete(f"{chunked}/kind=0")
+            own.append(kind([joined], 0))
         scratch.delete(f"{joined}/kind=0")
         scratch.release()
         texts.append(chunked)
