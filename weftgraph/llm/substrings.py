@@ -13,6 +13,9 @@ A fingerprint is a 64-bit hash, by which runs are sorted and joined, and 24 bits
 second, independent hash that verify a match: at a thousand billion windows the odds that
 any two different ones are taken for the same are still under one in two hundred.
 
+All of that is packed and compressed here, so the tables' own compression is off: it
+would only hold buffers of whole pages outside the heap.
+
 Chunks of documents travel with their texts, packed, so the words that stay are cut out
 where the decisions about a chunk meet, without another look at the table.
 """
@@ -217,7 +220,7 @@ class Index:
         while len(self.levels) <= level:
             self.levels.append(None)
         name, runs = self.levels[level] or (f"weftgraph_run_{uuid.uuid4().hex}", 0)
-        run.select("bucket", "data").write.bucketBy(self.buckets, "bucket").sortBy("bucket").mode("append").option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
+        run.select("bucket", "data").write.bucketBy(self.buckets, "bucket").sortBy("bucket").mode("append").option("compression", "none").option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
         self.levels[level] = name, runs + 1
 
     def _drop(self, level: int) -> None:
@@ -365,8 +368,8 @@ def dedup(df: DataFrame, scratch: Scratch, size: int = 20, batches: int = BATCHE
             part = part.where((F.col("doc_id") < bounds[i]) | (F.col("doc_id").isNull() if i == 0 else F.lit(False)))
         chunked, joined = scratch.path("chunks"), scratch.path("joined")
         with batches_of(spark, 1000, "4m"):
-            _rows_of(part, size, own.buckets, chunk_words).write.partitionBy("kind").parquet(chunked)
-            own.merge_join(kind([chunked], 0)).write.partitionBy("kind").parquet(joined)
+            _rows_of(part, size, own.buckets, chunk_words).write.partitionBy("kind").parquet(chunked, compression="none")
+            own.merge_join(kind([chunked], 0)).write.partitionBy("kind").parquet(joined, compression="none")
             scratch.delete(f"{chunked}/kind=0")
             own.append(kind([joined], 0))
         scratch.delete(f"{joined}/kind=0")
