@@ -71,24 +71,31 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, least_doc
     """Fits on documents with 0/1 labels; ``weights`` say how many documents of the whole
     table each stands for.  Only features whose share among toxic documents differs from
     that among others by ``least_z`` standard errors get a weight."""
-    bags = [sentences(x) for x in texts]
-    cache: dict[bytes, list[bytes]] = {}
-    known = [[[f for w in s for f in (cache.get(w) or cache.setdefault(w, features(w)))] for s in bag] for bag in bags]
+    one: dict[bytes, bytes] = {}  # words that come again are one object
+    bags = [[[one.setdefault(w, w) for w in s] for s in sentences(x)] for x in texts]
     counts = [Counter(), Counter()]
-    for y, bag in zip(labels, known):
-        counts[int(y)].update({f for s in bag for f in s})
+    for y, bag in zip(labels, bags):
+        counts[int(y)].update({f for w in {w for s in bag for w in s} for f in features(w)})
     n = [max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))]
     chosen: dict[bytes, int] = {}
-    for f in sorted(counts[0].keys() | counts[1].keys()):
+    often = {f for own, other in (counts, counts[::-1]) for f, times in own.items() if times + other.get(f, 0) >= least_docs}
+    for f in sorted(often):
         a, b = counts[0][f], counts[1][f]
-        if a + b >= least_docs:
-            p = (a + b + 1) / (n[0] + n[1] + 2)
-            if abs(b / n[1] - a / n[0]) >= least_z * np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1])):
-                chosen[f] = len(chosen)
+        p = (a + b + 1) / (n[0] + n[1] + 2)
+        if abs(b / n[1] - a / n[0]) >= least_z * np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1])):
+            chosen[f] = len(chosen)
+    del counts, one  # of a million words; the features chosen are few
+    cache: dict[bytes, list[int]] = {}
+
+    def found(word: bytes) -> list[int]:
+        if word not in cache:
+            cache[word] = [chosen[f] for f in features(word) if f in chosen]
+        return cache[word]
+
     rows, cols, doc_of, plain = [], [], [], np.zeros(len(texts))
-    for d, bag in enumerate(known):
+    for d, bag in enumerate(bags):
         for s in bag or [[]]:
-            if hits := [chosen[f] for f in s if f in chosen]:
+            if hits := [i for w in s for i in found(w)]:
                 rows += [len(doc_of)] * len(hits)
                 cols += hits
                 doc_of.append(d)
