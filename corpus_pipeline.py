@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, langid, linededup, packing, simhash
+from weftgraph.llm import decontaminate, langid, linededup, nearcopies, packing
 from weftgraph.llm.common import table
 from weftgraph.llm.queries import tokenizer_path
 from weftgraph.plans.scratch import Scratch
@@ -32,8 +32,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates."""
-    return simhash.keep_first(docs, Scratch(spark, "pipeline-simhash"))
+    """The document of the smallest id of each group of near duplicates.
+
+    Documents are linked whose sets of five-word shingles have a Jaccard similarity of 0.8
+    or more.  The fingerprints of op1 are not used: its trie cannot carry the bits by
+    which such documents differ.
+    """
+    return nearcopies.keep_first(docs, Scratch(spark, "pipeline-near"), words=5, share=(4, 5))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
