@@ -19,9 +19,10 @@ from weftgraph.plans.scratch import Scratch
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that one byte tree predicts best; its name becomes lang.
 
-    Texts without a letter, and texts that no language has for itself, go.
+    Texts without a letter go, texts that no language has for itself, and texts that no
+    tree predicts better than the uniform 8 bits a byte: other languages, code, noise.
     """
-    return langid.keep_identified(docs, langid.fit(docs), min_score=0.5, lang_col="lang")
+    return langid.keep_identified(docs, langid.fit(docs), min_score=0.5, lang_col="lang", max_bits=8.0)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

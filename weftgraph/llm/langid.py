@@ -134,13 +134,17 @@ class Trees:
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         """The language of the shortest code and its posterior under equal priors;
         ``und`` and 0 for texts without a letter, or if no language was learned."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[bytes]) -> tuple[list[str], list[float], list[float]]:
+        """What predict says, and the bits a byte of the shortest code (0 if there is none)."""
         if not self.langs:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         bits = self.code_lengths(texts)
         best = bits.argmin(axis=1)
         share = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
         lettered = [has_letter(x) for x in texts]
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered)], [float(p) if ok else 0.0 for p, ok in zip(share, lettered)]
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered)], [float(p) if ok else 0.0 for p, ok in zip(share, lettered)], [float(x) / max(1, len(t)) for x, t in zip(bits.min(axis=1), texts)]
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> Trees:
@@ -186,12 +190,13 @@ def identify(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     return map_slices(rows, make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, trees: Trees, min_score: float = 0.5, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+def keep_identified(df: DataFrame, trees: Trees, min_score: float = 0.5, text_col: str = "text", lang_col: str | None = None, max_bits: float | None = None) -> DataFrame:
     """The rows of df whose language is found with at least ``min_score``, as they were;
     with ``lang_col`` that column becomes the language found.
 
     Rejected are texts without a letter (null and empty ones too) and those no language
-    of which is likelier than the others together.
+    of which is likelier than the others together; with ``max_bits`` also those whose
+    shortest code has so many bits a byte or more.  Without a language learned all go.
     """
     sent = df.sparkSession.sparkContext.broadcast(trees)
 
@@ -199,11 +204,11 @@ def keep_identified(df: DataFrame, trees: Trees, min_score: float = 0.5, text_co
         model = sent.value
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, scores = model.predict(raw(batch, text_col))
+            langs, scores, rates = model.judge(raw(batch, text_col))
             if lang_col:
                 at = batch.schema.get_field_index(lang_col)
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(langs, batch.schema.field(at).type))
-            return batch.filter(pa.array([g != "und" and s >= min_score for g, s in zip(langs, scores)], pa.bool_()))
+            return batch.filter(pa.array([g != "und" and s >= min_score and (max_bits is None or b < max_bits) for g, s, b in zip(langs, scores, rates)], pa.bool_()))
 
         return f
 
