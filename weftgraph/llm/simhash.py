@@ -193,15 +193,18 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 
     component_id is the smallest doc_id that links of at most ``budget`` differing bits
     can reach.  Texts without words (empty or null) have fingerprint 0 and link like any
-    other.  A row with a null id gets its class, or null where no row of its fingerprint
-    has an id.  Rows that share an id are one document to the links: the classes of their
+    other.  A row with a null id links too and gets its class, or null where no row of the
+    class has an id.  Rows that share an id are one document to the links: the classes of their
     fingerprints are one.  Repeated rows come back repeated; an empty table gives no rows.
     """
     fps = scratch.write(fingerprints(df, id_col, text_col, words_per_shingle), "fingerprints")
     leaves = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "leaves")
-    links = trie_links(leaves.where("id is not null"), budget)
-    joined = star_components(links, scratch)
-    classes = leaves.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    links = trie_links(leaves.select("fp", F.col("fp").alias("id")), budget)
+    named = leaves.where("id is not null")
+    shared = named.groupBy("id").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1")
+    joined = star_components(links.unionAll(named.join(shared, "id").select("fp", "dst")), scratch)
+    linked = leaves.join(joined.withColumnRenamed("id", "__fp"), F.col("fp") == F.col("__fp"), "left").select("fp", "id", F.coalesce("component", "fp").alias("class"))
+    classes = linked.join(linked.groupBy("class").agg(F.min("id").alias("component_id")), "class").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
