@@ -39,6 +39,8 @@ def simulate(edges: DataFrame, labels: DataFrame, pattern_edges: DataFrame, patt
         if seen.get["n"] == size:
             break
         size = seen.get["n"]
+    else:
+        raise RuntimeError(f"the simulation did not converge in {limit} rounds")
     return alive
 
 

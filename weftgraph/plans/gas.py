@@ -85,7 +85,8 @@ def absorb(program: VertexProgram, state: DataFrame, acc: DataFrame, iteration:
 def run(program: VertexProgram, graph: Graph, max_iters: int | None = None, defer_sinks: bool = False, state: DataFrame | None = None, subset: DataFrame | None = None, limit: int = 10_000) -> DataFrame:
     """Runs to convergence or for ``max_iters`` rounds; returns (id, state columns, active).
 
-    Convergence is a round in which no vertex that has edges in and out was moved.  With
+    Convergence is a round in which no vertex that has edges in and out was moved; it is an
+    error if ``limit`` rounds do not reach it.  With
     ``defer_sinks`` vertices that only receive are left out of the rounds and computed once
     after them, from all final states; with one round they are part of it.
 
@@ -117,6 +118,9 @@ def run(program: VertexProgram, graph: Graph, max_iters: int | None = None, defe
         rounds += 1
         if seen.get["moved"] == 0:
             break
+    else:
+        if not max_iters:
+            raise RuntimeError(f"the program did not converge in {limit} rounds")
     edges.unpersist()
     if defer:
         senders = now.where("kind = 'regular'").unionByName(start.where("kind = 'source'"))
