@@ -106,9 +106,9 @@ ORACLES: dict[str, str] = {
     "in_degree": _with(**_MIXED) + _IN,
     "out_degree": _with(**_MIXED) + _OUT,
     "degree_top3": _with(e=_PLAIN.format(_RAW), v=_V) + f"SELECT * FROM ({_IN}) ORDER BY degree DESC, id LIMIT 3",
-    "pagerank_1": _with(**_pagerank(1, False)) + "SELECT id, round(rank, 6) AS rank FROM last",
-    "pagerank_10": _with(**_pagerank(10, True)) + "SELECT id, round(rank, 6) AS rank FROM last",
-    "pagerank_textbook_10": _with(**_pagerank(10, False)) + "SELECT id, round(rank, 6) AS rank FROM last",
+    "pagerank_1": _with(**_pagerank(1, False)) + "SELECT id, round(rank, 12) AS rank FROM last",
+    "pagerank_10": _with(**_pagerank(10, True)) + "SELECT id, round(rank, 12) AS rank FROM last",
+    "pagerank_textbook_10": _with(**_pagerank(10, False)) + "SELECT id, round(rank, 12) AS rank FROM last",
     "pagerank_converged": _with(**_pagerank(120, True)) + "SELECT id, round(rank, 5) AS rank FROM last",
     "pagerank_checksum": _with(**_pagerank(10, True)) + "SELECT (SELECT CAST(count(*) AS BIGINT) FROM e) AS degrees, round(sum(rank), 4) AS ranks FROM last",
     "sssp": _with(**_SSSP) + "SELECT id, distance FROM s",

@@ -75,6 +75,16 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def keep_only(self, *kept: DataFrame) -> None:
+        """Deletes all that was written so far but these tables."""
+        names = {df.scratch_path.rpartition("/")[2] for df in kept}
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        where = root.getFileSystem(conf)
+        for entry in where.listStatus(root) if where.exists(root) else []:
+            if entry.getPath().getName() not in names:
+                where.delete(entry.getPath(), True)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a written table that no later plan reads."""
         if path := getattr(df, "scratch_path", None):
