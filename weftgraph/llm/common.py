@@ -9,8 +9,11 @@ empty result with the same columns.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +32,22 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each changed until no column of df has it, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever signs their names have."""
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+
+
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -36,6 +55,30 @@ def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in col.cast(kind).to_pylist()]
 
 
+def give_back() -> None:
+    """Hands free memory of this worker back to the system; workers outlive their tasks,
+    and what one stage has freed is otherwise held beside what the next one needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives memory back when the task ends."""
+
+    @wraps(run)
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return f
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, at_once: int = SLICE) -> DataFrame:
     """Runs a batch function over small slices; ``make`` is called once in each task."""
 
@@ -45,7 +88,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
             for at in range(0, batch.num_rows, at_once):
                 yield f(batch.slice(at, at_once))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

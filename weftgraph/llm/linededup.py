@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import fresh
 from weftgraph.plans.scratch import Scratch
 
 #: A line on more than this share of a host's pages is boilerplate ...
@@ -49,21 +50,24 @@ def drop_boilerplate(pages: DataFrame, scratch: Scratch, host_col: str = "source
     Lines are cut at newlines and compared without blanks, tabs and carriage returns at
     their ends; blank lines always stay.  A text that loses lines is its other lines,
     joined by newlines; others stay as they are, null too.  Each row is a page, repeated
-    rows count as often as they come.  A null host is a host of its own.
+    rows count as often as they come.  A null host is a host of its own.  An empty table
+    gives an empty one.  Columns of the two new names are replaced; others may have any name.
     """
     known = scratch.write(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate")
     held = known.agg(F.sum(F.size("keys") + 8)).first()[0] or 0
-    known = known.select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
+    host, keys, kept_lines, all_lines, dropped = fresh(pages.drop("__n_lines", "__n_dropped"), "host", "keys", "kept", "__n_lines", "__n_dropped")
+    pages = pages.drop(all_lines, dropped)
+    known = known.select(F.col("host").alias(host), F.col("keys").alias(keys))
     if held <= BROADCAST_KEYS:  # else a join whose skewed hosts the adaptive planner splits
         known = F.broadcast(known)
     lines = _lines(F.col(text_col))
-    kept = F.filter(lines, lambda x: ~F.array_contains("__keys", _key(x)) | (F.btrim(x, F.lit(" \t\r")) == ""))
-    out = pages.join(known, F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left")
-    out = out.withColumn("__n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
-    out = out.withColumn("__kept", F.when(F.col("__keys").isNotNull() & F.col(text_col).isNotNull(), kept))
-    out = out.withColumn("__n_dropped", F.coalesce(F.col("__n_lines") - F.size("__kept"), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("__n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col)))
-    return out.select(*pages.columns, "__n_lines", "__n_dropped")
+    kept = F.filter(lines, lambda x: ~F.array_contains(keys, _key(x)) | (F.btrim(x, F.lit(" \t\r")) == ""))
+    out = pages.join(known, F.col(host_col).cast("string").eqNullSafe(F.col(host)), "left")
+    out = out.withColumn(all_lines, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
+    out = out.withColumn(kept_lines, F.when(F.col(keys).isNotNull() & F.col(text_col).isNotNull(), kept))
+    out = out.withColumn(dropped, F.coalesce(F.col(all_lines) - F.size(kept_lines), F.lit(0)).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col(dropped) > 0, F.array_join(kept_lines, "\n")).otherwise(F.col(text_col)))
+    return out.select(*[f"`{c}`" for c in pages.columns], all_lines, dropped)
 
 
 #: The query over documents, a document's source being its host, for DuckDB.

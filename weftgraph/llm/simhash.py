@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents, map_slices, raw
+from weftgraph.llm.common import documents, fresh, lean, map_slices, raw
 from weftgraph.plans.components import star_components
 from weftgraph.plans.scratch import Scratch
 
@@ -96,7 +96,7 @@ class Classes:
         return (s[hi1 - 1] == s[lo1]) & (s[hi2 - 1] == s[lo2]) & (of[lo1] == of[lo2])
 
 
-def _leaf_pairs(lo1, hi1, lo2, hi2):
+def leaf_pairs(lo1, hi1, lo2, hi2):
     """All leaf pairs of small node pairs; those of a node with itself count once."""
     n2 = hi2 - lo2
     sizes = (hi1 - lo1) * n2
@@ -133,7 +133,7 @@ def trie_self_join(keys: np.ndarray, start: int, budget: int) -> np.ndarray:
             lo1, hi1, lo2, hi2, err = (x[on] for x in (lo1, hi1, lo2, hi2, err))
             small = ((hi1 - lo1) * (hi2 - lo2) <= SMALL) | (depth == 64)
             if small.any():
-                i, j = _leaf_pairs(lo1[small], hi1[small], lo2[small], hi2[small])
+                i, j = leaf_pairs(lo1[small], hi1[small], lo2[small], hi2[small])
                 near = np.bitwise_count(keys[i] ^ keys[j]) <= allowed
                 classes.merge(i[near], j[near])
             lo1, hi1, lo2, hi2, err = (x[~small] for x in (lo1, hi1, lo2, hi2, err))
@@ -185,7 +185,7 @@ def trie_links(leaves: DataFrame, budget: int = 3, leaves_per_task: int = LEAVES
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(name[linked]), pa.array(name[of[linked]])], ["src", "dst"])
 
-    return dealt.select("fp", "id", "block", value.alias("value")).repartition(tasks, "block", "value").select("fp", "id", "block").mapInArrow(run, "src long, dst long")
+    return dealt.select("fp", "id", "block", value.alias("value")).repartition(tasks, "block", "value").select("fp", "id", "block").mapInArrow(lean(run), "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, budget: int = 3) -> DataFrame:
@@ -215,5 +215,6 @@ def keep_first(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", **how) -
     A row without an id stays.  Rows that repeat the kept id stay as they are.
     """
     found = near_duplicates(df, scratch, id_col, **how)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    (name,) = fresh(df, "gone")
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, df[id_col] == gone[name], "left_anti")
