@@ -34,7 +34,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
     path = scratch.path("store")
     tokenstore.write_store(table(spark, sf_dir, "documents"), path, scratch, tokenizer_path(spark, "word_bpe_49k.json"), end_id=2)
-    return tokenstore.read_store(spark, path, with_ids=False)
+    return tokenstore.read_store(spark, path, with_ids=False, scratch=scratch)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,13 +114,14 @@ class _Cache(dict):
 
 
 class Encoder:
-    """ids of whole texts by a tokenizers file; special strings in texts are plain text."""
+    """ids of whole texts by a tokenizers file, those of the library's encode() without
+    special tokens added; the file's special strings in a text are their ids, as there.
+    Texts that hold such a string go through the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, normal, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec["model"]
@@ -140,6 +141,7 @@ class Encoder:
                 self.piece = _word_merges(model, suffix)
                 encode = self.by_pieces
         self.cache = _Cache(encode)
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
 
     def by_library(self, chunk: str) -> list[int]:
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -168,6 +170,8 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if any(x in text for x in self.added):
+            return array("I", self.by_library(text)).tobytes()
         return b"".join(map(self.cache.__getitem__, self.split(text)))
 
 

@@ -26,10 +26,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_sample, documents, map_slices, raw
+from weftgraph.llm.common import batches_of, documents, lean, map_slices, raw
 from weftgraph.llm.tokens import encoder
 from weftgraph.plans.scratch import Scratch
 
@@ -38,12 +39,15 @@ HEAD = struct.Struct("<8sII32s")
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 #: Bound of the sample that the dictionary is trained on, and the dictionary's size.
 TRAIN_DOCS, TRAIN_IDS, DICTIONARY_BYTES = 1000, 1 << 21, 64 << 10
-#: A shard is closed when its frames reach so many bytes.
-SHARD_BYTES = 4 << 20
+#: Text bytes that the sample takes at most; it goes to the driver.
+TRAIN_BYTES = 16 << 20
+#: A shard is closed when its frames reach so many bytes, and a task writes about so many.
+#: Larger ones would be arrays that a JVM with a small heap keeps apart from all others.
+SHARD_BYTES, PART_SHARDS = 448 << 10, 32
 #: Up to so many shards their places are broadcast.
 BROADCAST_SHARDS = 500_000
 NO_ID = -(1 << 63)
-_SHARDS = "first_id long, first_h long, part_shard long, n_docs long, n_tokens long, data binary"
+_SHARDS = "part long, part_shard long, n_docs long, n_tokens long, data binary"
 
 
 def ids_of(path: str, end_id: int):
@@ -91,6 +95,24 @@ def shard(rows: list[tuple[int | None, int, bytes]], width: int, dictionary: byt
     return b"".join([head, *(f for _, _, f in rows), index.tobytes(), struct.pack("<Q", at)])
 
 
+def _sample(docs: DataFrame) -> Iterator[str]:
+    """Whole texts of the smallest hashes, as many as TRAIN_DOCS, TRAIN_BYTES and, by two
+    bytes an id at least, TRAIN_IDS allow; sizes are added up before a text is read."""
+    h = F.xxhash64("doc_id", "text")
+    few = docs.select(h.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).orderBy("h", "size").limit(TRAIN_DOCS).collect()
+    used, hashes = 0, []
+    for r in few:
+        if used + r["size"] > min(TRAIN_BYTES, 2 * TRAIN_IDS):
+            continue
+        used += r["size"]
+        hashes.append(r["h"])
+    seen = set()
+    for r in docs.where(h.isin(hashes)).select(h.alias("h"), "text").dropDuplicates(["h"]).collect() if hashes else []:
+        if r["h"] not in seen:
+            seen.add(r["h"])
+            yield r["text"] or ""
+
+
 def write_store(df: DataFrame, path: str, scratch: Scratch, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Encodes every whole text, appends end_id and writes the store at ``path``.
 
@@ -103,13 +125,8 @@ def write_store(df: DataFrame, path: str, scratch: Scratch, tokenizer: str, end_
     spark, docs = df.sparkSession, documents(df, id_col, text_col)
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     kind = "<u2" if width == 2 else "<u4"
-    encode, samples, used = ids_of(tokenizer, end_id), [], 0
-    chosen = bounded_sample(docs.select("doc_id"), "doc_id", TRAIN_DOCS).distinct()
-    drawn = scratch.write(docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text"), "sample")
-    for row in drawn.coalesce(1).toLocalIterator():
-        if used < TRAIN_IDS:
-            samples.append(encode(row["text"] or "").astype(kind).tobytes())
-            used += len(samples[-1]) // width
+    encode = ids_of(tokenizer, end_id)
+    samples = [encode(text).astype(kind).tobytes() for text in _sample(docs)]
     dictionary = train(sorted(samples))
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -123,25 +140,23 @@ def write_store(df: DataFrame, path: str, scratch: Scratch, tokenizer: str, end_
 
         return f
 
-    frames = scratch.write(map_slices(docs, make, "doc_id long, n long, frame binary"), "frames")
+    with batches_of(spark, 1000, "4m"):
+        frames = scratch.write(map_slices(docs, make, "doc_id long, n long, frame binary"), "frames")
     size = frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (4 * shard_bytes) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (PART_SHARDS * shard_bytes) + 1)
 
     # the hash deals out and orders rows that share an id
     keyed = frames.withColumn("h", F.xxhash64("frame"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, number, first_h = [], 0, 0, 0
+        rows, held, number, part = [], 0, 0, TaskContext.get().partitionId()
 
         def close():
-            data = shard(rows, width, dictionary)
-            least = NO_ID if rows[0][0] is None else rows[0][0]
-            numbers = [least, first_h, number, len(rows), sum(r[1] for r in rows)]
-            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in numbers), pa.array([data], pa.binary())], ["first_id", "first_h", "part_shard", "n_docs", "n_tokens", "data"])
+            numbers = [part, number, len(rows), sum(r[1] for r in rows)]
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in numbers), pa.array([shard(rows, width, dictionary)], pa.binary())], ["part", "part_shard", "n_docs", "n_tokens", "data"])
 
         for batch in batches:
-            for h, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                first_h = first_h if rows else h
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 rows.append(row)
                 held += len(row[2])
                 if held >= shard_bytes:
@@ -150,9 +165,11 @@ def write_store(df: DataFrame, path: str, scratch: Scratch, tokenizer: str, end_
         if rows:
             yield close()
 
+    # parts of a range partitioning are numbered in its order
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "frame").select("h", "doc_id", "n", "frame")
-    ordered.mapInArrow(gather, _SHARDS).write.parquet(f"{path}/shards")
+    with batches_of(spark, 1000, "4m"):
+        ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "frame").select("doc_id", "n", "frame")
+        ordered.mapInArrow(lean(gather), _SHARDS).write.parquet(f"{path}/shards")
     scratch.drop(frames)
 
 
@@ -163,15 +180,23 @@ def open_store(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
     if hashlib.sha256(dictionary).hexdigest() != row["sha256"]:
         raise ValueError("the dictionary does not have its hash")
     shards = spark.read.schema(_SHARDS).parquet(f"{path}/shards")
-    # the window sees a few numbers for each shard of megabytes, not the shards
-    place = ["first_id", "first_h", "part_shard"]
-    starts = shards.select(*place, (F.sum("n_tokens").over(Window.orderBy(*place)) - F.col("n_tokens")).alias("start"))
-    few = shards.count() <= BROADCAST_SHARDS  # 32 bytes each
+    # sums of shards within their part, and of parts: a part is one number to the window
+    # that sees all of them, and no window sees the shards
+    place = ["part", "part_shard"]
+    inside = shards.select(*place, (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("part_shard")) - F.col("n_tokens")).alias("inside"))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    starts = inside.join(before, "part").select(*place, (F.col("inside") + F.col("before")).alias("start"))
+    few = shards.count() <= BROADCAST_SHARDS  # 24 bytes each
     return shards.join(F.broadcast(starts) if few else starts, place), dictionary
 
 
-def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """One row a document, read back from the shards: (doc_id, start, n_tokens, ids_crc32[, ids])."""
+def read_store(spark: SparkSession, path: str, with_ids: bool = True, scratch: Scratch | None = None) -> DataFrame:
+    """One row a document, read back from the shards: (doc_id, start, n_tokens, ids_crc32[, ids]).
+
+    With ``scratch`` the rows are read now, a shard at a time, and come from a written table;
+    without, whoever reads the result sets how many shards a worker gets at once.
+    """
     shards, dictionary = open_store(spark, path)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +214,11 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFra
                     start += int(n.sum())
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return shards.select("start", "data").mapInArrow(f, kind)
+    rows = shards.select("start", "data").mapInArrow(lean(f), kind)
+    if scratch is None:
+        return rows
+    with batches_of(spark, 1, "1m"):
+        return scratch.write(rows, "documents")
 
 
 def export(spark: SparkSession, path: str, folder: str) -> list[str]:
