@@ -1,5 +1,7 @@
 """Token ids, the binary store and packing: round trips and the tokenizers library itself."""
 
+import itertools
+import os
 import random
 import zlib
 
@@ -12,7 +14,7 @@ from weftgraph.plans.scratch import Scratch
 
 tokenizers = pytest.importorskip("public_tokenizers")
 FILES = {"word": "word_bpe_49k.json", "byte": "byte_bpe_50k.json"}
-ODD = ["It's we'll  they've 'S  'sx", " ", " \n \n x", "  x", "x  ", "\n\nx", "á ́b", "\x00a\x00 b", "<|endoftext|> a<|startoftext|>", "a\x1cb \x85c d", "", "İstanbul ΣΑΣ ſt ﬁ", "x" * 5000, "don't\tstop\r\nnow"]
+ODD = ["It's we'll  they've 'S  'sx", " ", " \n \n x", "  x", "x  ", "\n\nx", "á ́b", "\x00a\x00 b", "<|endoftext|> a<|startoftext|>", "a <|endoftext|> b", "<|ENDOFTEXT|> <|endoftext", "été<|endoftext|><|endoftext|>\n x", "a\x1cb \x85c d", "", "İstanbul ΣΑΣ ſt ﬁ", "x" * 5000, "don't\tstop\r\nnow"]
 
 
 def texts(n=300):
@@ -27,7 +29,6 @@ def library(kind, text):
     t = _cache.get(kind)
     if t is None:
         t = _cache[kind] = Tokenizer.from_file(str(tokenizers.path(FILES[kind])))
-        t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -107,6 +108,33 @@ def test_plan_places_every_piece_once(seed):
     assert -(-total // capacity) <= plan.sequences <= len(first_fit)
 
 
+    for lengths, times in plan.filled:
+        assert sum(lengths) == capacity and 1 <= len(lengths) <= 4 and times > 0
+
+
+def test_no_gap_that_three_lengths_fill_is_left():
+    rng = random.Random(3)
+    counts = {n: rng.randrange(1, 9) for n in rng.sample(range(20, 100), 30)}
+    plan = packing.Plan(counts, 100)
+    left = dict(counts)
+    for lengths, times in plan.filled:
+        for x in lengths:
+            left[x] -= times
+    assert min(left.values()) >= 0
+    rest = [n for n, k in left.items() for _ in range(k)]
+    sums = {sum(x) for size in (1, 2, 3, 4) for x in itertools.combinations(rest, size)}
+    assert 100 not in sums
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_tables_take_as_few_sequences_as_can_be(spark):
+    rows = packing.cut(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), str(tokenizers.path(FILES["byte"]))).groupBy("length").count().collect()
+    counts = {r["length"]: r["count"] for r in rows}
+    plan = packing.Plan.of(counts, 2048)
+    assert plan.sequences == -(-sum(k * v for k, v in counts.items()) // 2048)
+    assert sum(times for lengths, times in plan.filled if len(lengths) > 2) > 100
+
+
 def test_exact_complements_leave_nothing():
     plan = packing.Plan({60: 4, 40: 2, 30: 2, 10: 2, 25: 4, 20: 1, 35: 0, 50: 2}, 100)
     assert plan.sequences == -(-(60 * 4 + 80 + 60 + 20 + 100 + 20 + 100) // 100)

@@ -2,12 +2,15 @@
 
 How many pieces of each length there are is all that the plan needs, and lengths are
 bounded by the sequence, so the plan is made from one small histogram however many
-documents there are.  From the longest length down, a gap is filled exactly by one length,
-else by two, else by three whose sum is the gap, each combination as often as the counts
-allow.  Lengths that no combination completes go, longest first, to the open sequence with
-the least room that takes them.  The plan is a list of intervals: pieces of one length,
-from this rank to that, go to these sequences at that offset.  Pieces get their ranks
-within their length by distributed counting, and look their interval up.
+documents there are.  An index of single, pair and triple length sums says which gaps the
+lengths at hand fill exactly.  All gaps that one length fills are filled first, then those
+that two fill, then those that three fill, from the longest length down, each combination
+as often as the counts allow; of several the one of the most even lengths, as short ones
+are scarce and still fit anywhere.  Lengths that no combination completes go, longest
+first, to the open sequence with the least room that takes them.  The plan is a list of
+intervals: pieces of one length, from this rank to that, go to these sequences at that
+offset.  Pieces get their ranks within their length by distributed counting, and look their
+interval up.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents, map_slices, raw
+from weftgraph.llm.common import columns_of, documents, fresh, map_slices, raw
 from weftgraph.llm.tokens import encoder
 from weftgraph.plans.scratch import Scratch
 
@@ -57,12 +60,59 @@ def cut(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, wi
     return map_slices(documents(df, id_col, text_col), make, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+class Sums:
+    """Which gaps one, two or three of the lengths at hand fill: an index of their sums.
+
+    pairs[s] is the number of pairs of lengths at hand, a <= b, of sum s; it is kept up to
+    date as lengths run out.  Three lengths fill a gap if a length and a pair sum do.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left, self.pairs = left, np.zeros(2 * len(left), np.int64)
+        here = np.flatnonzero(left)
+        for a in here.tolist():
+            self.pairs[a + here[here > a]] += 1
+            self.pairs[2 * a] += left[a] > 1
+
+    def take(self, length: int, count: int) -> None:
+        """``count`` pieces of a length are gone."""
+        before, after = int(self.left[length]), int(self.left[length]) - count
+        self.left[length] = after
+        if before > 1 >= after:
+            self.pairs[2 * length] -= 1
+        if before and not after:
+            self.pairs[length + np.flatnonzero(self.left)] -= 1
+
+    def single(self, gap: int) -> list[int] | None:
+        return [gap] if self.left[gap] else None
+
+    def pair(self, gap: int) -> list[int] | None:
+        """The two most even lengths of sum ``gap``."""
+        if gap < 2 or not self.pairs[gap]:
+            return None
+        low = np.arange(1, gap // 2 + 1)
+        both = (self.left[low] > 0) & (self.left[gap - low] > 0)
+        both[-1] &= gap % 2 or self.left[gap // 2] > 1
+        found = np.flatnonzero(both)  # none, where the index counts the piece that leaves the gap
+        return [gap - int(low[found[-1]]), int(low[found[-1]])] if len(found) else None
+
+    def triple(self, gap: int) -> list[int] | None:
+        """Three lengths of sum ``gap``, the shortest as long as can be."""
+        low = np.flatnonzero(self.left[: gap // 3 + 1])
+        for x in low[self.pairs[gap - low] > 0][::-1].tolist():
+            self.left[x] -= 1
+            two = self.pair(gap - x)
+            self.left[x] += 1
+            if two and min(two) >= x:
+                return [*two, x]
+        return None
+
+
 class Plan:
     """Intervals (length, first rank, count, first sequence, offset) for a histogram."""
 
     def __init__(self, counts: dict[int, int], capacity: int, most: int = 3):
         """``most``: of how many lengths a complement may be."""
-        self.most = most
         self.capacity, self.left = capacity, np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             if not 0 < length <= capacity:
@@ -71,11 +121,21 @@ class Plan:
         self.used = np.zeros(capacity + 1, np.int64)
         self.sequences = 0
         self.rows: list[tuple[int, int, int, int, int]] = []
-        for length in range(capacity, 0, -1):
-            while most and self.left[length] and (fill := self._complement(length)) is not None:
-                need = Counter([length, *fill])
-                times = min(int(self.left[x]) // m for x, m in need.items())
-                self._open([length, *fill], times)
+        #: lengths and times of each combination that was consumed
+        self.filled: list[tuple[list[int], int]] = []
+        sums = self.sums = Sums(self.left)
+        for complement in (lambda gap: None if gap else [], sums.single, sums.pair, sums.triple)[: most + 1]:
+            for length in range(capacity, 0, -1):
+                while self.left[length]:
+                    self.left[length] -= 1  # it is no part of its own complement
+                    fill = complement(capacity - length)
+                    self.left[length] += 1
+                    if fill is None:
+                        break
+                    need = Counter([length, *fill])
+                    times = min(int(self.left[x]) // m for x, m in need.items())
+                    self._open([length, *fill], times)
+                    self.filled.append(([length, *fill], times))
         self._best_fit()
         rows = np.array(sorted(self.rows), np.int64).reshape(-1, 5)
         self.key, self.sequence, self.offset = (rows[:, 0] << 44) + rows[:, 1], rows[:, 3], rows[:, 4]
@@ -83,14 +143,18 @@ class Plan:
 
     @classmethod
     def of(cls, counts: dict[int, int], capacity: int) -> Plan:
-        """The plan of fewest sequences.  Triples nearly always give it; where short pieces
-        are scarce they use them up too early, and smaller complements do better."""
-        return min((cls(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: p.sequences)
+        """The plan of fewest sequences, of such the one of the longest complements.
+
+        Where nearly all pieces are long, pairs and triples can use up the short ones that
+        fill most; on such histograms shorter complements do better.  On tables of documents
+        triples have always been as good or better.
+        """
+        return min((cls(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: p.sequences)
 
     def _place(self, length: int, count: int, sequence: int, offset: int) -> None:
         self.rows.append((length, int(self.used[length]), count, sequence, offset))
         self.used[length] += count
-        self.left[length] -= count
+        self.sums.take(length, count)
 
     def _open(self, lengths: list[int], times: int) -> int:
         """``times`` new sequences, each of these lengths; returns the first one's number."""
@@ -101,40 +165,6 @@ class Plan:
         self.sequences += times
         return first
 
-    def _complement(self, length: int) -> list[int] | None:
-        """Lengths at hand that fill what ``length`` leaves: none, one, two or three; the
-        largest ones first, as small ones still fit many gaps."""
-        gap = self.capacity - length
-        if gap == 0:
-            return []
-        left = self.left.copy()
-        left[length] -= 1
-        if left[gap] > 0:
-            return [gap]
-        if self.most < 2:
-            return None
-        if (pair := self._pair(left, gap)) is not None:
-            return pair
-        if self.most < 3:
-            return None
-        for a in (np.flatnonzero(left[1 : gap - 1] > 0) + 1)[::-1].tolist():
-            left[a] -= 1
-            if (pair := self._pair(left, gap - a)) is not None:
-                return [a, *pair]
-            left[a] += 1
-        return None
-
-    @staticmethod
-    def _pair(left: np.ndarray, total: int) -> list[int] | None:
-        if total < 2:
-            return None
-        low = np.arange(1, total // 2 + 1)
-        both = (left[low] > 0) & (left[total - low] > 0)
-        if total % 2 == 0 and left[total // 2] < 2:
-            both[-1] = False
-        at = int(both.argmax())
-        return [total - low[at].item(), low[at].item()] if both[at] else None
-
     def _best_fit(self) -> None:
         room: dict[int, list[list[int]]] = {}  # room left -> [first sequence, count] of such
         rooms: list[int] = []
@@ -177,19 +207,21 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 2048) -> DataFrame
     """pieces as of cut() (any columns besides length stay) with sequence_id and offset.
 
     Every piece gets a place of its own, repeated rows too; an empty table gives none.
+    Columns named sequence_id and offset are replaced; others may have any name.
     """
     spark = pieces.sparkSession
-    pieces = scratch.write(pieces, "pieces")
+    pieces = scratch.write(pieces.drop("sequence_id", "offset"), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # as many rows as lengths
     sent = spark.sparkContext.broadcast(Plan.of(counts, capacity))
     buckets = max(8, sum(counts.values()) // BUCKET_ROWS + 1)
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    before = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
-    before = before.select(F.col("length").alias("__length"), F.col("__bucket").alias("__b"), (F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece")) - 1
-    ranked = dealt.withColumn("__rank", own.cast("long"))
-    ranked = ranked.join(before, (F.col("length") == F.col("__length")) & (F.col("__bucket") == F.col("__b")))
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).select(*pieces.columns, "__rank")
+    bucket, rank, n, length, b, earlier = fresh(pieces, "bucket", "rank", "n", "length", "b", "earlier")
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    before = dealt.groupBy("length", bucket).agg(F.count("*").alias(n))
+    before = before.select(F.col("length").alias(length), F.col(bucket).alias(b), (F.sum(n).over(Window.partitionBy("length").orderBy(bucket)) - F.col(n)).alias(earlier))
+    own = F.row_number().over(Window.partitionBy("length", bucket).orderBy("doc_id", "piece")) - 1
+    ranked = dealt.withColumn(rank, own.cast("long"))
+    ranked = ranked.join(before, (F.col("length") == F.col(length)) & (F.col(bucket) == F.col(b)))
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(earlier)).select(*columns_of(pieces), rank)
     where = ranked.schema.fieldNames().index("length")
 
     def make():
