@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import plain
 from weftgraph.llm import decontaminate, linededup, simhash, substrings
@@ -113,7 +114,7 @@ def test_contamination_of_nothing(spark):
 
 def test_line_dedup(spark):
     pages = [(i, f"Menu\r\nline {i}\n\n Menu\nRare" if i < 6 else f"line {i}", "h1") for i in range(10)] + [(20, "Menu\nonly", None), (21, None, "h1"), (22, "", "h1"), (23, "Menu", "h2"), (24, "Menu", "h2")]
-    df = spark.createDataFrame([(*p, 1, "k") for p in pages], "doc_id long, text string, source string, pages int, keys string")
+    df = spark.createDataFrame([(*p, 1, "k") for p in pages], "doc_id long, text string, source string, pages int, keys string").withColumns({"__keys": F.lit(1), "__host": F.lit(2), "Kept": F.lit(3)})
     out = linededup.drop_boilerplate(df, Scratch(spark, "t"), ratio=0.4, min_pages=3)
     assert out.columns == [*df.columns, "__n_lines", "__n_dropped"]
     got = {r.doc_id: (r.text, r["__n_lines"], r["__n_dropped"]) for r in out.collect()}
@@ -146,12 +147,21 @@ def test_substrings_of_nothing_and_incrementally(spark):
 
 def test_window_hashes_are_those_of_the_words():
     data = b"a b c a b c a b c d e f"
-    words, at = substrings.word_hashes(data)
+    words, others, at = substrings.word_hashes(data)
     assert at.tolist() == list(range(0, 23, 2))
     for size in (1, 2, 3, 5, 7):
-        h, check = substrings.window_hashes(words, size)
+        h, check = substrings.window_hashes(words, others, size)
         keys = [tuple(data.split()[i : i + size]) for i in range(13 - size)]
         assert len(h) == len(keys) == len(check)
         for column in (h, check):
             assert len({(k, int(x)) for k, x in zip(keys, column)}) == len(set(keys))
             assert len(set(column.tolist())) == len(set(keys))
+
+
+def test_words_that_a_polynomial_takes_for_the_same(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[x ^ turn] for x in bits) for turn in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one[:60]} {rest}"), (4, f"{other[:60]} {rest}"), (5, f"{other} {rest}")]
+    got = sorted(substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), size=20).collect())
+    assert [(r.n_words, r.n_removed, r.text) for r in got] == plain.substrings(rows)

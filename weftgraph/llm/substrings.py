@@ -10,8 +10,11 @@ next when there are ``fanout`` of them.  Runs are bucketed tables, so only the b
 shuffled.
 
 A fingerprint is a 64-bit hash, by which runs are sorted and joined, and 24 bits of a
-second, independent hash that verify a match: at a thousand billion windows the odds that
-any two different ones are taken for the same are still under one in two hundred.
+second one that verify a match.  The two are made of two hashes of each word that have
+nothing in common, so words that one takes for the same the other tells apart: at a
+thousand billion windows the odds that any two different ones are taken for the same are
+still under one in two hundred.  A match is not compared word by word: that would need the
+place of each window in the runs, and these are most of what is written.
 
 All of that is packed and compressed here, so the tables' own compression is off: it
 would only hold buffers of whole pages outside the heap.
@@ -28,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import batches_of, documents
+from weftgraph.llm.common import batches_of, documents, lean
 from weftgraph.plans.scratch import Scratch
 
 #: Words of a chunk: a mapper sends each different window of a chunk once.
@@ -46,7 +50,12 @@ BATCHES, FANOUT = 10, 4
 NO_ID = -(1 << 63)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE, _LEFT, _RIGHT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F))
+_LEFT, _RIGHT = (np.uint64(x) for x in (0xD1342543DE82EF95, 0xA0761D6478BD642F))
+#: Bytes of a word that are hashed by a table; longer words are hashed whole by XXH3.
+LONG = 64
+#: Two random numbers for each place and byte: a word's two hashes are sums of them, so
+#: there is no structure in words that both, or either, could overlook.
+_TABLES = np.random.PCG64(20).random_raw(2 * LONG * 256).reshape(2, LONG * 256)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,34 +64,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the byte at which it starts."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, and the byte at which it starts."""
     b = np.frombuffer(data, np.uint8)
     inside = ~_SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
     starts, lengths = edge[::2], np.diff(edge)[::2]
-    out = np.zeros(len(starts), np.uint64)
+    out = np.zeros((2, len(starts)), np.uint64)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(lengths.max(initial=0)), _BYTE, np.uint64))
         for at in range(0, len(starts), BLOCK_WORDS):  # eight bytes for each byte of a block
-            n = lengths[at : at + BLOCK_WORDS]
+            n = np.minimum(lengths[at : at + BLOCK_WORDS], LONG)
             first = np.cumsum(n) - n
-            place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
-            value = power[place]
-            place += np.repeat(starts[at : at + BLOCK_WORDS], n)
-            value *= b[place].astype(np.uint64) + np.uint64(1)
-            out[at : at + BLOCK_WORDS] = np.add.reduceat(value, first)
-        return _mix(out), starts
-
-
-def window_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every ``size`` consecutive word hashes a 64-bit hash and 24 bits of another."""
+            place = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), n)
+            byte = b[place + np.repeat(starts[at : at + BLOCK_WORDS], n)]
+            place <<= 8
+            place |= byte
+            for k in range(2):
+                out[k, at : at + BLOCK_WORDS] = np.add.reduceat(_TABLES[k][place], first)
+        out = _mix(out)
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        whole = xxhash.xxh3_128_intdigest(data[starts[i] : starts[i] + lengths[i]])
+        out[0, i], out[1, i] = whole & (1 << 64) - 1, whole >> 64
+    return out[0], out[1], starts
+
+
+def window_hashes(words: np.ndarray, others: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every ``size`` consecutive words a 64-bit hash of their first hashes and 24 bits
+    of another one of their second."""
     n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
 
-    def fold(m: np.uint64) -> np.ndarray:
-        out, width, step = words, 1, m  # out[i]: of width words from i
+    def fold(out: np.ndarray, m: np.uint64) -> np.ndarray:
+        width, step = 1, m  # out[i]: of width words from i
         total, have, power = np.zeros(len(words), np.uint64), 0, np.uint64(1)
         left = size
         while left:
@@ -98,7 +112,24 @@ def window_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
         return total[:n]
 
     with np.errstate(over="ignore"):
-        return _mix(fold(_LEFT)), (_mix(fold(_RIGHT)) >> np.uint64(40)).astype(np.uint32)
+        return _mix(fold(words, _LEFT)), (_mix(fold(others, _RIGHT)) >> np.uint64(40)).astype(np.uint32)
+
+
+def _tied(h: np.ndarray) -> np.ndarray:
+    """Places of a sorted array that hold what a neighbour holds."""
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[1:] == h[:-1]
+    return np.flatnonzero(same[1:] | same[:-1])
+
+
+def _order(h: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """The order by h, then by the others, the last of which counts least; few hashes are
+    equal, so only these are sorted by more than h."""
+    order = np.argsort(h)
+    at = _tied(h[order])
+    own = order[at]
+    order[at] = own[np.lexsort((*(x[own] for x in reversed(then)), h[own]))]
+    return order
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -138,14 +169,14 @@ def _chunk_rows(name: str, docs: list[tuple[int, bytes]], size: int, buckets: in
     lengths = np.array([len(d[1]) for d in docs], np.uint64)
     blob = struct.pack("<Q", len(docs)) + zstandard.ZstdCompressor(level=3).compress(ids.tobytes() + lengths.tobytes() + b"".join(d[1] for d in docs))
     yield 1, 0, name, blob, b""
-    words, at = word_hashes(b"\n".join(d[1] for d in docs))
+    words, others, at = word_hashes(b"\n".join(d[1] for d in docs))
     begins = np.cumsum(lengths.astype(np.int64) + 1) - lengths.astype(np.int64) - 1
     first_word = np.searchsorted(at, begins)
     doc = np.repeat(np.arange(len(docs)), np.diff(np.append(first_word, len(words))))
-    h, check = window_hashes(words, size)
+    h, check = window_hashes(words, others, size)
     index = np.flatnonzero(doc[: len(h)] == doc[size - 1 : size - 1 + len(h)]).astype(np.uint32)
     h, check = h[index], check[index]
-    order = np.lexsort((check, h)) if len(h) else np.zeros(0, np.int64)  # stable: equal windows stay in order
+    order = _order(h, check, index)
     h, check, index = h[order], check[order], index[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
@@ -189,13 +220,18 @@ def _merge_bucket(bucket: int, entries: list[dict], runs: list[bytes]):
     sizes = [len(c[0]) for c in cols]
     h, check, index = (np.concatenate([c[i] for c in cols]) for i in range(3))
     names = sorted(e["chunk"] for e in entries)
-    chunk = np.repeat(np.array([names.index(e["chunk"]) for e in entries]), sizes)
-    ids = []
-    for e, c in zip(entries, cols):
-        start, own = unpack(e["docs"], "<u4", "<i8")
-        ids.append(own[np.searchsorted(start, c[2], "right") - 1])
-    order = np.lexsort((index, chunk, np.concatenate(ids), check, h))
-    h, check, index, chunk = h[order], check[order], index[order], chunk[order]
+    number = np.array([names.index(e["chunk"]) for e in entries])
+    entry = np.repeat(np.arange(len(entries), dtype=np.int32), sizes)
+    order = np.argsort(h)
+    at = _tied(h[order])
+    tied = order[at]
+    ids = np.zeros(len(tied), np.int64)  # of the documents; only equal windows need them
+    for k in np.unique(entry[tied]).tolist():
+        start, own = unpack(entries[k]["docs"], "<u4", "<i8")
+        of = entry[tied] == k
+        ids[of] = own[np.searchsorted(start, index[tied[of]], "right") - 1]
+    order[at] = tied[np.lexsort((index[tied], number[entry[tied]], ids, check[tied], h[tied]))]
+    h, check, index, chunk = h[order], check[order], index[order], number[entry[order]]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
     new = first.copy()
@@ -241,11 +277,11 @@ class Index:
                     for bucket, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                         parts = [unpack(x, "<u8", "<u4") for x in runs]
                         h, check = (np.concatenate([p[i] for p in parts]) for i in range(2))
-                        order = np.lexsort((check, h))
+                        order = _order(h, check)
                         yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([pack(h[order], check[order])], pa.binary())], ["bucket", "data"])
 
             whole = self.spark.table(self.levels[level][0]).groupBy("bucket").agg(F.collect_list("data").alias("runs"))
-            self._put(level + 1, whole.mapInArrow(merge, "bucket long, data binary"))
+            self._put(level + 1, whole.mapInArrow(lean(merge), "bucket long, data binary"))
             self._drop(level)
 
     def merge_join(self, entries: DataFrame) -> DataFrame:
@@ -265,7 +301,7 @@ class Index:
                     for row in _merge_bucket(bucket, entries, runs):
                         yield _batch([row])
 
-        return rows.select("bucket", "entries", runs.alias("runs")).mapInArrow(run, _ROW)
+        return rows.select("bucket", "entries", runs.alias("runs")).mapInArrow(lean(run), _ROW)
 
     def drop(self) -> None:
         for level in range(len(self.levels)):
@@ -290,7 +326,7 @@ def _rows_of(docs: DataFrame, size: int, buckets: int, chunk_words: int) -> Data
             for row in _chunk_rows(uuid.uuid4().hex, held, size, buckets):
                 yield _batch([row])
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.mapInArrow(lean(run), _ROW)
 
 
 def _cut_out(texts: DataFrame, repeats: DataFrame, size: int) -> DataFrame:
@@ -329,7 +365,7 @@ def _cut_out(texts: DataFrame, repeats: DataFrame, size: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _OUT.types)], _OUT.names)
 
-    return texts.join(found, "chunk", "left").select("data", "windows").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
+    return texts.join(found, "chunk", "left").select("data", "windows").mapInArrow(lean(run), "doc_id long, text string, n_words long, n_removed long")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
@@ -345,7 +381,8 @@ def dedup(df: DataFrame, scratch: Scratch, size: int = 20, batches: int = BATCHE
     documents of their own, in a fixed order; of rows alike one is the first.
 
     With ``index`` the windows of earlier calls count as earlier too, and this call's are
-    added to it, so ids must ascend from call to call.
+    added to it, so ids must ascend from call to call: a window of a later call that an
+    earlier one has is a repeat whatever its id.
     """
     spark, docs = df.sparkSession, documents(df, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
