@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the docs of the next.  All but the last return the columns of documents,
-so any of them may be run, rerun or checked alone.
+so any of them may be run, rerun or checked alone.  Any column may hold nulls: a null text
+counts as an empty one, so the language stage rejects it, and the others, run alone, keep
+it as it is; a row without an id or source stays in as far as its text lets it.  Empty
+tables give empty tables.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest id of each group of near duplicates.
 
     Documents are linked whose sets of five-word shingles have a Jaccard similarity of 0.8
-    or more.  The fingerprints of op1 are not used: its trie cannot carry the bits by
-    which such documents differ.
+    or more: by the trie of SimHash fingerprints first, and for pairs that differ in more
+    bits than a trie can carry by an exact search of what the trie leaves apart.
     """
     return nearcopies.keep_first(docs, Scratch(spark, "pipeline-near"), words=5, share=(4, 5))
 
@@ -61,7 +64,8 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Byte trees, tokenizers and packing have no SQL; the tests hold run() against brute force.
+#: Byte trees, tokenizers and packing have no SQL; tests/llm/test_pipeline.py holds run()
+#: against plain versions, stage by stage.
 ORACLE_SQL = None
 
 
@@ -69,6 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents of sf_dir on."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
