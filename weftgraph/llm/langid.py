@@ -22,8 +22,9 @@ from weftgraph.llm.common import held_out, map_slices, raw
 
 #: Bound of the fitting sample: documents and text bytes of each language.
 TRAIN_DOCS, TRAIN_BYTES = 400, 2 << 20
-#: Longest context in bytes, if the unrolled table stays within TABLE_BYTES.
-ORDER, TABLE_BYTES = 3, 96 << 20
+#: Longest context in bytes, and the largest unrolled table that a worker may have to hold;
+#: a sample that needs a larger one is an error, never a lower order.
+ORDER, TABLE_BYTES = 3, 512 << 20
 #: Bytes scored at a time.
 CHUNK = 1 << 20
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -52,8 +53,8 @@ class Trees:
         a = self.size = int(seen.sum()) + 1
         self.order = order
         counts = [[self._counts(samples[g], k) for g in self.langs] for k in range(order + 1)]
-        while self.order > 1 and self._bytes(counts, self.order) > table_bytes:
-            self.order -= 1
+        if (needed := self._bytes(counts, order)) > table_bytes:
+            raise ValueError(f"the trees of {len(self.langs)} languages take {needed} bytes unrolled, over {table_bytes}; fit with a lower order")
         n = len(self.langs)
         cost = np.full((1, a, n), 8.0, np.float32)
         for k in range(self.order):  # shorter contexts: a row for each that could be
@@ -147,10 +148,11 @@ class Trees:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered)], [float(p) if ok else 0.0 for p, ok in zip(share, lettered)], [float(x) / max(1, len(t)) for x, t in zip(bits.min(axis=1), texts)]
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> Trees:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES, order: int = ORDER) -> Trees:
     """Fits on a bounded sample: of each language up to ``docs`` whole documents that are
     not held out, in the order of an id hash, until ``max_bytes`` of text are reached.
-    Rows without language or text are not used."""
+    Rows without language or text are not used.  It is an error if trees of this order
+    take more than TABLE_BYTES."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(~held_out("doc_id") & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     samples: dict[str, list[bytes]] = {g: [] for g in sizes}
@@ -166,7 +168,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             if len(samples[g]) < docs and used[g] < max_bytes:
                 samples[g].append(data)
                 used[g] += len(data)
-    return Trees({g: x for g, x in samples.items() if x})
+    return Trees({g: x for g, x in samples.items() if x}, order)
 
 
 def identify(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
