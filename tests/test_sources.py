@@ -89,3 +89,13 @@ def test_streaming_degrees(spark, tmp_path):
         query.stop()
     assert found == {1: (2, 0), 2: (0, 1), 3: (0, 1)}
     assert spark.table("degrees").where(F.col("id") == 1).count() == 1
+
+
+def test_binary_writer_refuses_what_it_cannot_keep(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    for wrong in (4294967301, -1):
+        with pytest.raises(Exception, match="unsigned"):
+            binary.write_edges(spark.createDataFrame([(wrong, 2)], "src long, dst long"), str(tmp_path / f"wrong{wrong}"))
+    binary.write_edges(edges, str(tmp_path / "once"))
+    with pytest.raises(FileExistsError):
+        binary.write_edges(edges, str(tmp_path / "once"))

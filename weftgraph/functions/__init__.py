@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 
 def random_weight(src: Column | str, dst: Column | str, seed: int = 1, most: int = 128) -> Column:
-    """A whole number from 1 to ``most``, the same for the same edge and seed."""
-    return F.pmod(F.xxhash64(F.col(src) if isinstance(src, str) else src, F.col(dst) if isinstance(dst, str) else dst, F.lit(seed)), F.lit(most)).cast("long") + 1
+    """A whole number from 1 to ``most``, the same for the same edge and seed.
+
+    Whole-number arithmetic only, so that SQL elsewhere can state it: a mix of the ends,
+    then two steps of a multiplicative generator modulo 2^31 - 1.
+    """
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (src, dst))
+    mixed = F.pmod(a.cast("long") * 7919 + b.cast("long") * 104729 + F.lit(seed * 1299709).cast("long"), F.lit(2147483647))
+    for _ in range(2):
+        mixed = (mixed * 48271 + 12345) % 2147483647
+    return (F.floor(mixed / 1024).cast("long") % most + 1).cast("long")
 
 
 def tokens(text: Column | str) -> Column:

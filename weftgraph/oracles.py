@@ -134,6 +134,7 @@ ORACLES: dict[str, str] = {
     "term_stats": _with(**_POSTINGS, **_STATS) + "SELECT term, df, total_tf FROM ts",
     "collection_stats": _with(**_POSTINGS, **_STATS) + "SELECT n_tokens, round(mean_length, 6) AS mean_length FROM cs",
     "term_dictionary": _with(**_POSTINGS) + _DICT,
+    "corpus_roundtrip": _with(**_POSTINGS) + _DICT,
     "query_term_lookup": _with(**_POSTINGS, **_QUERIES, dict=_DICT) + "SELECT qid, pos, qt.term, coalesce(term_id + (SELECT count(*) FROM documents), 0) AS term_id FROM qt LEFT JOIN dict ON dict.term = qt.term",
     "bm25_topk": _with(**_POSTINGS, **_STATS, **_QUERIES, s="SELECT qid, p.doc, round(sum(log10((nd.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM qt JOIN p ON p.term = qt.term JOIN ts ON ts.term = p.term JOIN dl ON dl.doc = p.doc, nd, cs GROUP BY qid, p.doc") + _BEST,
     "lm_topk": _with(**_POSTINGS, **_STATS, **_QUERIES, s="SELECT qt.qid, p.doc, round(sum(log10(1 + tf / (2000.0::DOUBLE * total_tf / n_tokens))) + any_value(m.n) * log10(2000.0::DOUBLE / (any_value(length) + 2000.0::DOUBLE)), 6) AS score FROM qt JOIN p ON p.term = qt.term JOIN ts ON ts.term = p.term JOIN dl ON dl.doc = p.doc JOIN (SELECT qid, count(*) AS n FROM qt GROUP BY qid) m ON m.qid = qt.qid, cs GROUP BY qt.qid, p.doc") + _BEST,
@@ -141,4 +142,6 @@ ORACLES: dict[str, str] = {
     "graph_simulation": _with(**_SIM) + "SELECT id, q FROM r40",
     "graph_simulation_count": _with(**_SIM) + "SELECT CAST(count(DISTINCT id) AS BIGINT) AS matched FROM r40",
     "binary_roundtrip": _FIRST.format(_RAW),
+    "text_roundtrip": _FIRST.format(_RAW),
+    "random_weights": "SELECT src, dst, CAST(((m * 48271 + 12345) % 2147483647 * 48271 + 12345) % 2147483647 // 1024 % 128 + 1 AS BIGINT) AS weight FROM (SELECT src, dst, (src::BIGINT * 7919 + dst::BIGINT * 104729 + 1299709) % 2147483647 AS m FROM (" + _PLAIN.format(_RAW) + "))",
 }

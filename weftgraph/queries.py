@@ -94,6 +94,21 @@ def _binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_edges(spark, path, weight="int", header=True)
 
 
+def _text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted edges through text files with a header line, as the tools exchange them."""
+    from weftgraph.sources import text
+
+    edges = graph(spark, sf_dir, weighted=True).edges
+    path = Scratch(spark, "text").path("edges")
+    text.write_edges(edges, path, weights="own", header=(1, 1, 1))
+    return text.read_edges(spark, path, weight="int")
+
+
+def _corpus_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term dictionary as the corpus writer leaves it, read back."""
+    return corpus.build(corpus.global_doc_ids(_parted(spark, sf_dir)), Scratch(spark, "corpus").path("graph"))[1]
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 #: Ranks are sums of 0.1275 / degree: with few places some lie half-way, where the order of
 #: the sum would decide; twelve are beyond all of degrees under 512.
@@ -148,6 +163,8 @@ QUERIES: dict[str, Query] = {
     "graph_simulation_count": lambda s, d: simulation.matched(_pattern(s, d)).agg(F.count("*").alias("matched")),
     "random_weights": lambda s, d: graph(s, d).edges.withColumn("weight", functions.random_weight("src", "dst")),
     "binary_roundtrip": _binary_roundtrip,
+    "text_roundtrip": _text_roundtrip,
+    "corpus_roundtrip": _corpus_roundtrip,
 }
 
 

@@ -93,7 +93,10 @@ class EdgeWriter(DataSourceArrowWriter):
             for b in iterator:
                 rows = np.zeros(b.num_rows, self.kind)
                 for c in self.kind.names:
-                    rows[c] = b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                    column = b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                    if self.kind[c].kind == "u" and len(column) and not 0 <= column.min() <= column.max() < 1 << 32:
+                        raise ValueError(f"{c} has values that 32 unsigned bits do not hold")
+                    rows[c] = column
                 n += len(rows)
                 for i, c in enumerate(("src", "dst")):
                     top[i] = max(top[i], int(rows[c].max())) if len(rows) else top[i]
@@ -128,7 +131,13 @@ def read_edges(spark: SparkSession, path: str, weight: str = "none", header: boo
 
 
 def write_edges(edges: DataFrame, path: str, weight: str = "none", header: bool = False) -> None:
-    """Writes part files, one a task; weights are dropped, kept, or 1 where there are none."""
+    """Writes part files, one a task; weights are dropped, kept, or 1 where there are none.
+
+    Ids and whole weights are unsigned 32-bit numbers in the file: others are an error.  So
+    is a folder that has part files, as two runs' parts can't be told apart.
+    """
+    if files.exists(path) and files.listing(path):
+        raise FileExistsError(f"{path} has files already")
     from pyspark.sql import functions as F
 
     edges.sparkSession.dataSource.register(EdgeSource)

@@ -17,6 +17,15 @@ def _remote(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def exists(path: str) -> bool:
+    if (own := _local(path)) is not None:
+        return Path(own).exists()
+    from pyarrow import fs
+
+    system, at = _remote(path)
+    return system.get_file_info(at).type != fs.FileType.NotFound
+
+
 def listing(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of a file, or of a folder's files whose names start with part-."""
     if (own := _local(path)) is not None:
