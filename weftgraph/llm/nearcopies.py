@@ -219,9 +219,10 @@ def _candidates(starts: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.nda
 
 
 def _pairs(rows: DataFrame, turn: int, share: tuple[int, int], forest: bool) -> DataFrame:
-    """(src, dst), src < dst, between keys of different classes that the bounds let through."""
-    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "token").withColumn("mix", F.xxhash64("key", F.lit(turn)))
+    """(src, dst), src < dst, between keys of different classes that the bounds let through;
+    shingles whose rows are all of one class have none."""
+    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    rows = rows.join(blocks.where("low <> high").select("token", "blocks"), "token").withColumn("mix", F.xxhash64("key", F.lit(turn)))
     rows = rows.withColumn("own", F.pmod("mix", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "mix", "key", "cls", "n", "at", "bits")
 
@@ -280,6 +281,8 @@ def links(keyed: DataFrame, scratch: Scratch, texts_of: Callable[[DataFrame], Da
         nonlocal tested
         new = pairs if tested is None else pairs.join(tested, ["src", "dst"], "left_anti")
         new = scratch.write(new, "pairs")
+        if new.isEmpty():
+            return new
         tested = new if tested is None else tested.unionAll(new)
         texts = texts_of(scratch.write(new.select(F.col("src").alias("key")).unionAll(new.select("dst")).distinct(), "wanted"))
         both = new.join(texts.select(F.col("key").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("key").alias("dst"), F.col("text").alias("b")), "dst")
@@ -305,9 +308,7 @@ def links(keyed: DataFrame, scratch: Scratch, texts_of: Callable[[DataFrame], Da
         classes = scratch.write(star_components(found, scratch).select(F.col("id").alias("key"), F.col("component")), "classes")
         some = rows.where(F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(one_in)) == 0) if one_in > 1 else rows
         dealt = some.join(_few(classes, classes.count()), "key", "left").withColumn("cls", F.coalesce("component", "key")).drop("component")
-        apart = dealt.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("token")
-        left = dealt.join(apart, "token", "left_semi")
-        sent = scratch.write(_pairs(left, turn, share, turn < len(TURNS)), "sent")
+        sent = scratch.write(_pairs(dealt, turn, share, turn < len(TURNS)), "sent")
         scratch.release()
         found = scratch.write(found.unionAll(checked(sent)), "links")
     return found
