@@ -339,8 +339,13 @@ def keep_first(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     gone_id, gone_mark = fresh(df, "gone_id", "gone_mark")
     own = marks.distinct()
     dealt = own.join(_few(classes, classes.count()), own["key"] == classes["id"], "left").select("key", own["id"], "mark", F.coalesce("component", "key").alias("class"))
-    first = dealt.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1").select("class", "first")
-    gone = scratch.write(dealt.join(first, "class").where("first < id").select(F.col("id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct(), "gone")
+    first = scratch.write(dealt.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1"), "first")
+    # rows of a class of many meet its first where they are, and are not dealt by class
+    many = first.where(F.col("members") > BLOCK).select("class", F.col("first").alias("of_many"))
+    found = dealt.join(_few(many, many.count()), "class", "left")
+    few = found.where("of_many IS NULL").join(first.where(F.col("members") <= BLOCK).select("class", "first"), "class")
+    columns = [F.col("id").alias(gone_id), F.col("mark").alias(gone_mark)]
+    gone = scratch.write(found.where("of_many < id").select(*columns).unionAll(few.where("first < id").select(*columns)).distinct(), "gone")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = df.join(_few(gone, gone.count()), (F.col(id_col).cast("long") == F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_mark)), "left_anti")
     scratch.keep_only(gone)
