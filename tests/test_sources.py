@@ -99,3 +99,13 @@ def test_binary_writer_refuses_what_it_cannot_keep(spark, tmp_path):
     binary.write_edges(edges, str(tmp_path / "once"))
     with pytest.raises(FileExistsError):
         binary.write_edges(edges, str(tmp_path / "once"))
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    sizes = [1, 5000, 3, 700]  # Spark packs the largest first
+    lines = [f"t{i}" for i in range(sum(sizes))]
+    for part, n in enumerate(sizes):
+        at = sum(sizes[:part])
+        (tmp_path / f"part-{part:05d}.txt").write_text("\n".join(lines[at : at + n]) + "\n")
+    found = {r.term: r.term_id for r in text.read_terms(spark, str(tmp_path)).collect()}
+    assert found == {x: i + 1 for i, x in enumerate(lines)}

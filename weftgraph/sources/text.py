@@ -11,12 +11,13 @@ from weftgraph.sources import files
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """(line, value): lines with their number from 0, counted partition by partition."""
-    own = lines.select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    # the id's low 33 bits number the rows of a partition; partitions are counted and summed
-    counts = own.groupBy("p").agg(F.count("*").alias("n"))
-    before = counts.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
-    return own.join(F.broadcast(before), "p").select((F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("line"), "value")
+    """(line, value): lines of text files with their number from 0, files in the order of
+    their paths; Spark packs splits into partitions by size, in any order."""
+    own = lines.select("value", F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    # a split's rows follow each other in one partition; splits are counted and summed
+    counts = own.groupBy("p", "b").agg(F.count("*").alias("n"), F.min("m").alias("first"))
+    before = counts.select("p", "b", (F.sum("n").over(Window.orderBy("p", "b")) - F.col("n") - F.col("first")).alias("shift"))
+    return own.join(before, ["p", "b"]).select((F.col("m") + F.col("shift")).alias("line"), "value")
 
 
 def read_edges(spark: SparkSession, path: str, weight: str = "none") -> DataFrame:
