@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.operators import shaping
+from weftgraph.plans.components import star_components
 from weftgraph.plans.gas import VertexProgram, run
-from weftgraph.plans.scratch import cut
+from weftgraph.plans.scratch import Scratch, cut
 
 DAMPING, REST = 0.85, 0.15
 
@@ -79,16 +80,10 @@ def bfs(graph: Graph, root: int) -> DataFrame:
 
 
 def connected_components(graph: Graph) -> DataFrame:
-    """(id, label) over an undirected graph: the smallest id of the component."""
-    program = VertexProgram(
-        init={"label": F.col("id")},
-        active=F.lit(True),
-        message=F.col("label"),
-        combine=F.min,
-        apply=lambda i: {"label": F.least("label", "acc")},
-        activate=F.col("label") < F.col("old_label"),
-    )
-    return run(program, graph).select("id", "label")
+    """(id, label) over an undirected graph: the smallest id of the component; by stars, in
+    rounds that do not grow with the diameter as handing labels on would."""
+    found = star_components(graph.edges, Scratch(graph.edges.sparkSession, "components"))
+    return graph.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
 def in_neighbours(graph: Graph) -> DataFrame:
@@ -99,23 +94,25 @@ def in_neighbours(graph: Graph) -> DataFrame:
 def triangles(edges: DataFrame, n: int) -> DataFrame:
     """(id, triangles): triangles whose middle id it is, whatever the edges' directions.
 
-    Edges go from small to large ids; a path a-b-c that an edge a-c closes counts for b.
-    Paths meet by joins whose skewed partitions can be split; no neighbour list is shipped.
+    They are found by degree, so a hub of a low id starts no more paths than any other.
     """
-    dag = shaping.dedupe(shaping.orient_acyclic(shaping.drop_loops(edges.select("src", "dst"))))
-    dag = cut(dag)
-    ab, bc = dag.select(F.col("src").alias("a"), F.col("dst").alias("b")), dag.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    closed = ab.join(bc, "b").join(dag.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"], "left_semi")
-    counted = closed.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("triangles"))
+    middle = F.sort_array(F.array("a", "b", "c"))[1]
+    counted = _closed(edges).groupBy(middle.alias("id")).agg(F.count("*").alias("triangles"))
     universe = edges.sparkSession.range(0, n + 1)
     return universe.join(counted, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))
 
 
 def triangle_total(edges: DataFrame) -> DataFrame:
-    """One row: triangles in all.
+    """One row: triangles in all."""
+    return _closed(edges).agg(F.count("*").alias("triangles"))
+
+
+def _closed(edges: DataFrame) -> DataFrame:
+    """(b, c, a): each triangle once.
 
     Edges go from ends of few neighbours to ends of more, so a hub starts few paths and the
-    paths grow as the edges to the power 1.5 at most.
+    paths grow as the edges to the power 1.5 at most.  Paths meet by joins whose skewed
+    partitions can be split; no neighbour list is shipped.
     """
     pairs = cut(shaping.dedupe(shaping.orient_acyclic(shaping.drop_loops(edges.select("src", "dst")))))
     degree = shaping.symmetrise(pairs).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
@@ -124,5 +121,4 @@ def triangle_total(edges: DataFrame) -> DataFrame:
     dag = cut(ranked.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst")))
     ab, ac = dag.select(F.col("src").alias("a"), F.col("dst").alias("b")), dag.select(F.col("src").alias("a"), F.col("dst").alias("c"))
     paths = ab.join(ac, "a").where("b <> c")
-    closed = paths.join(dag.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"], "left_semi")
-    return closed.agg(F.count("*").alias("triangles"))
+    return paths.join(dag.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"], "left_semi")
