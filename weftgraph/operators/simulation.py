@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weftgraph.plans.scratch import cut
+from weftgraph.plans.scratch import cut, uncut
 
 
 def simulate(edges: DataFrame, labels: DataFrame, pattern_edges: DataFrame, pattern_labels: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -29,12 +29,14 @@ def simulate(edges: DataFrame, labels: DataFrame, pattern_edges: DataFrame, patt
     heads = pairs.where("need > 0").select(F.col("id").alias("src"), "q", "need")
     tails = pairs.select(F.col("id").alias("dst"), F.col("q").alias("q2"))
     rests = cut(edges.select("src", "dst").distinct().join(heads, "src").join(F.broadcast(pattern), "q").join(tails, ["dst", "q2"]).select(F.col("src").alias("id"), "q", "need", F.col("dst").alias("id2"), "q2"))
-    alive = pairs.select("id", "q")
+    alive, inner = pairs.select("id", "q"), None
     for i in range(limit):
         left = rests.join(alive.select(F.col("id").alias("id2"), F.col("q").alias("q2")), ["id2", "q2"], "left_semi")
         met = left.select("id", "q", "need", "q2").distinct().groupBy("id", "q").agg(F.count("*").alias("met"), F.first("need").alias("need"))
         seen = Observation(f"round{i}")
-        inner = cut(met.where("met >= need").select("id", "q").observe(seen, F.count("*").alias("n")))
+        before, inner = inner, cut(met.where("met >= need").select("id", "q").observe(seen, F.count("*").alias("n")))
+        if before is not None:
+            uncut(before)
         alive = leaves.unionAll(inner)
         if seen.get["n"] == size:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
-from weftgraph.plans.scratch import cut
+from weftgraph.plans.scratch import cut, uncut
 
 Combine = Callable[[Column], Column]
 
@@ -114,7 +114,9 @@ def run(program: VertexProgram, graph: Graph, max_iters: int | None = None, defe
         acc = accumulate(program, now.where("active"), edges, snapshot)
         seen = Observation(f"round{rounds}")
         nxt = absorb(program, now, acc, rounds, sources=True)
-        now = cut(nxt.observe(seen, F.count_if("moved").alias("moved")).drop("moved"))
+        before, now = now, cut(nxt.observe(seen, F.count_if("moved").alias("moved")).drop("moved"))
+        if rounds:  # the first states are read again
+            uncut(before)
         rounds += 1
         if seen.get["moved"] == 0:
             break

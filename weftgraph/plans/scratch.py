@@ -100,3 +100,10 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def uncut(df: DataFrame) -> None:
+    """Deletes the files of a table that cut() made and no later plan reads."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _delete(df.sparkSession, file.get())
