@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import tokens
+from weftgraph.plans.scratch import cut
 
 
 def postings_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_id: int = 1) -> DataFrame:
@@ -25,23 +26,26 @@ def global_doc_ids(postings: DataFrame, counts: DataFrame | None = None) -> Data
     return postings.join(before, "part").withColumn("doc_id", F.col("doc_id") + F.col("before")).drop("before")
 
 
-def term_dictionary(postings: DataFrame, n_docs: int = 0, prefix: int = 3) -> DataFrame:
+def term_dictionary(postings: DataFrame, n_docs: int = 0) -> DataFrame:
     """(term, term_id): dense numbers from n_docs + 1 in the terms' order.
 
-    Terms are numbered among those that begin alike and moved by the sizes of the groups
-    before, so no task sees all terms; there is one row a group to sum over.
+    Terms are dealt by ranges of equal size, numbered in each and moved by the sizes of the
+    ranges before, so no task sees all terms; there is one row a range to sum over.  They
+    are written once, as a range drawn anew could have other bounds.
     """
-    terms = postings.select("term").distinct().withColumn("r", F.substring("term", 1, prefix))
-    own = terms.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("term")))
-    sizes = terms.groupBy("r").agg(F.count("*").alias("n"))
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.select("term").distinct().repartitionByRange(parts, "term").sortWithinPartitions("term")
+    own = cut(dealt.select("term", F.monotonically_increasing_id().alias("m")))
+    # the id's high bits are the partition's number, the low 33 number its rows
+    part = F.shiftright("m", 33)
+    sizes = own.groupBy(part.alias("r")).agg(F.count("*").alias("n"))
     before = sizes.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("before"))
-    return own.join(before, "r").select("term", (F.col("k") + F.col("before") + n_docs).cast("long").alias("term_id"))
+    rank = F.col("m").bitwiseAND((1 << 33) - 1) + F.col("before") + 1 + n_docs
+    return own.join(before, part == F.col("r")).select("term", rank.cast("long").alias("term_id"))
 
 
 def build(postings: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges (doc_id, term_id, tf), dictionary (term, term_id)); written under path if given."""
-    from weftgraph.plans.scratch import cut
-
     dictionary = cut(term_dictionary(postings))
     edges = postings.join(dictionary, "term").select("doc_id", "term_id", "tf")
     if path:
