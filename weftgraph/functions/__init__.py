@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What no token has: all of ASCII but digits and small letters.
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def random_weight(src: Column | str, dst: Column | str, seed: int = 1, most: int = 128) -> Column:
     """A whole number from 1 to ``most``, the same for the same edge and seed.
 
@@ -20,8 +24,9 @@ def random_weight(src: Column | str, dst: Column | str, seed: int = 1, most: int
 
 
 def tokens(text: Column | str) -> Column:
-    """Runs of a-z after lower-casing, as an array without empty entries."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: x != "")
+    """Runs of digits, a-z and characters past ASCII after lower-casing, as an array
+    without empty entries."""
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda x: x != "")
 
 
 def string_hash(text: Column | str, multiplier: int = 31, both_ways: bool = False) -> Column:

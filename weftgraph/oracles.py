@@ -6,6 +6,7 @@ more rounds than any of the given tables needs.
 
 from __future__ import annotations
 
+from weftgraph.functions import NOT_WORD
 from weftgraph.queries import PATTERN, ROOT, TOP
 
 _N = "(SELECT max(c_custkey) FROM customer)"
@@ -59,7 +60,7 @@ _SIM = {
     "need": "SELECT src AS q, count(*) AS need FROM pe GROUP BY src",
 } | _unrolled(40, "SELECT c_custkey AS id, q.q FROM customer JOIN q ON q.label = c_mktsegment", "SELECT p.id, p.q FROM {p} p LEFT JOIN need ON need.q = p.q LEFT JOIN (SELECT e.src AS id, pe.src AS q, count(DISTINCT c.q) AS met FROM {p} c JOIN e ON e.dst = c.id JOIN pe ON pe.dst = c.q GROUP BY e.src, pe.src) h ON h.id = p.id AND h.q = p.q WHERE coalesce(h.met, 0) >= coalesce(need.need, 0)")
 _POSTINGS = {
-    "w": "SELECT doc_id + 1 AS doc, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents",
+    "w": f"SELECT doc_id + 1 AS doc, unnest(string_split_regex(lower(text), '{NOT_WORD}')) AS term FROM documents",
     "p": "SELECT doc, term, CAST(count(*) AS BIGINT) AS tf FROM w WHERE term <> '' GROUP BY doc, term",
 }
 _STATS = {
@@ -69,9 +70,9 @@ _STATS = {
     "cs": "SELECT CAST(sum(tf) AS BIGINT) AS n_tokens, sum(tf) / (SELECT n FROM nd) AS mean_length FROM p",
 }
 _QUERIES = {
-    "bw": "SELECT item_id AS qid, t.term, t.i FROM benchmark, LATERAL (SELECT unnest(x) AS term, generate_subscripts(x, 1) AS i FROM (SELECT string_split_regex(lower(text), '[^a-z]+') AS x)) t WHERE t.term <> ''",
+    "bw": f"SELECT item_id AS qid, t.term, t.i FROM benchmark, LATERAL (SELECT unnest(x) AS term, generate_subscripts(x, 1) AS i FROM (SELECT string_split_regex(lower(text), '{NOT_WORD}') AS x)) t WHERE t.term <> ''",
     "bf": "SELECT qid, term, min(i) AS i FROM bw GROUP BY qid, term",
-    "qt": "SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY i) - 1 AS pos FROM bf QUALIFY pos < 3",
+    "qt": "SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY i) - 1 AS pos FROM bf",
 }
 _BEST = f"SELECT qid, rank, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= {TOP}"
 _DICT = "SELECT term, row_number() OVER (ORDER BY term) AS term_id FROM (SELECT DISTINCT term FROM p)"
