@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -55,6 +56,20 @@ def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in col.cast(kind).to_pylist()]
 
 
+_loaded = 0
+
+
+def settle() -> None:
+    """Takes what this worker has loaded out of the garbage collector's sight, again only when
+    it has loaded more: modules stay as long as the worker does, and both PySpark and
+    give_back() collect after every task, which would walk all of their objects each time."""
+    global _loaded
+    if len(sys.modules) != _loaded:
+        gc.collect()
+        gc.freeze()
+        _loaded = len(sys.modules)
+
+
 def give_back() -> None:
     """Hands free memory of this worker back to the system; workers outlive their tasks,
     and what one stage has freed is otherwise held beside what the next one needs."""
@@ -71,6 +86,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     @wraps(run)
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         try:
             yield from run(batches)
         finally:

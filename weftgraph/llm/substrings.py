@@ -47,6 +47,8 @@ BLOCK_WORDS = 1 << 16
 BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 48
 #: Batches that a table is taken in, and runs of a level before they are merged.
 BATCHES, FANOUT = 10, 4
+#: Bytes of rows that go from Python to Spark at a time.
+BATCH_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -79,8 +81,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             byte = b[place + np.repeat(starts[at : at + BLOCK_WORDS], n)]
             place <<= 8
             place |= byte
+            last = first + n - 1
             for k in range(2):
-                out[k, at : at + BLOCK_WORDS] = np.add.reduceat(_TABLES[k][place], first)
+                out[k, at : at + BLOCK_WORDS] = np.diff(np.cumsum(_TABLES[k][place])[last], prepend=np.uint64(0))
         out = _mix(out)
     for i in np.flatnonzero(lengths > LONG).tolist():
         whole = xxhash.xxh3_128_intdigest(data[starts[i] : starts[i] + lengths[i]])
@@ -141,12 +144,15 @@ def _unplanes(data: bytes, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
+def _framed(n: int, planes: bytes | np.ndarray) -> bytes:
+    return struct.pack("<Q", n) + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of one length, the first ascending, by bytes of equal weight."""
     n = len(columns[0])
     first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    body = b"".join(_planes(x) for x in (first, *columns[1:]))
-    return struct.pack("<Q", n) + zstandard.ZstdCompressor(level=1).compress(body)
+    return _framed(n, b"".join(_planes(x) for x in (first, *columns[1:])))
 
 
 def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -185,10 +191,15 @@ def _chunk_rows(name: str, docs: list[tuple[int, bytes]], size: int, buckets: in
     h, check, index = h[first], check[first], index[first]
     bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+    there = np.flatnonzero(cuts[1:] > cuts[:-1])
+    steps = np.diff(h, prepend=np.uint64(0))
+    steps[cuts[there]] = h[cuts[there]]
+    body = np.concatenate([x.view(np.uint8).reshape(len(h), x.itemsize) for x in (steps, check, index)], axis=1)
+    doc, first_word = doc[index], first_word.astype(np.uint32)
+    for b in there.tolist():
         part = slice(cuts[b], cuts[b + 1])
-        own = np.unique(doc[index[part]])
-        yield 0, b, name, pack(h[part], check[part], index[part]), pack(first_word[own].astype(np.uint32), ids[own])
+        own = np.flatnonzero(np.bincount(doc[part]))
+        yield 0, b, name, _framed(cuts[b + 1] - cuts[b], np.ascontiguousarray(body[part].T)), pack(first_word[own], ids[own])
 
 
 _ROW = "kind int, bucket long, chunk string, data binary, docs binary"
@@ -199,6 +210,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["kind", "bucket", "chunk", "data", "docs"])
 
 
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most BATCH_BYTES, or of one row: each batch has a cost of its
+    own on both sides, and most rows are small."""
+    held, size = [], 0
+    for row in rows:
+        more = len(row[3]) + len(row[4])
+        if held and size + more > BATCH_BYTES:
+            yield _batch(held)
+            held, size = [], 0
+        held.append(row)
+        size += more
+    if held:
+        yield _batch(held)
+
+
 def _in_run(h: np.ndarray, check: np.ndarray, run_h: np.ndarray, run_check: np.ndarray) -> np.ndarray:
     """Which (h, check) a run sorted by both has."""
     out = np.zeros(len(h), bool)
@@ -226,9 +252,11 @@ def _merge_bucket(bucket: int, entries: list[dict], runs: list[bytes]):
     at = _tied(h[order])
     tied = order[at]
     ids = np.zeros(len(tied), np.int64)  # of the documents; only equal windows need them
-    for k in np.unique(entry[tied]).tolist():
+    by = np.argsort(entry[tied], kind="stable")
+    cuts = np.searchsorted(entry[tied[by]], np.arange(len(entries) + 1))
+    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         start, own = unpack(entries[k]["docs"], "<u4", "<i8")
-        of = entry[tied] == k
+        of = by[cuts[k] : cuts[k + 1]]
         ids[of] = own[np.searchsorted(start, index[tied[of]], "right") - 1]
     order[at] = tied[np.lexsort((index[tied], number[entry[tied]], ids, check[tied], h[tied]))]
     h, check, index, chunk = h[order], check[order], index[order], number[entry[order]]
@@ -241,8 +269,10 @@ def _merge_bucket(bucket: int, entries: list[dict], runs: list[bytes]):
         new[at[_in_run(h[at], check[at], run_h, run_check)]] = False
     if new.any():
         yield 0, bucket, "", pack(h[new], check[new]), b""
-    for c in np.unique(chunk[~new]).tolist():
-        yield 2, bucket, names[c], pack(np.sort(index[~new & (chunk == c)])), b""
+    repeated = np.sort(chunk[~new].astype(np.uint64) << np.uint64(32) | index[~new])
+    cuts = np.searchsorted(repeated, np.arange(len(names) + 1, dtype=np.uint64) << np.uint64(32))
+    for c in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        yield 2, bucket, names[c], pack(repeated[cuts[c] : cuts[c + 1]].astype(np.uint32)), b""
 
 
 class Index:
@@ -298,8 +328,7 @@ class Index:
             for b in batches:
                 for i in range(b.num_rows):
                     bucket, entries, runs = (c[i].as_py() for c in b.columns)
-                    for row in _merge_bucket(bucket, entries, runs):
-                        yield _batch([row])
+                    yield from _batches(_merge_bucket(bucket, entries, runs))
 
         return rows.select("bucket", "entries", runs.alias("runs")).mapInArrow(lean(run), _ROW)
 
@@ -319,12 +348,10 @@ def _rows_of(docs: DataFrame, size: int, buckets: int, chunk_words: int) -> Data
                 held.append((NO_ID if doc is None else doc, data))
                 weight += len(data)
                 if weight >= 6 * chunk_words:  # a word takes six bytes, more or less
-                    for row in _chunk_rows(uuid.uuid4().hex, held, size, buckets):
-                        yield _batch([row])
+                    yield from _batches(_chunk_rows(uuid.uuid4().hex, held, size, buckets))
                     held, weight = [], 0
         if held:
-            for row in _chunk_rows(uuid.uuid4().hex, held, size, buckets):
-                yield _batch([row])
+            yield from _batches(_chunk_rows(uuid.uuid4().hex, held, size, buckets))
 
     return docs.mapInArrow(lean(run), _ROW)
 
