@@ -16,8 +16,10 @@ thousand billion windows the odds that any two different ones are taken for the
 still under one in two hundred.  A match is not compared word by word: that would need the
 place of each window in the runs, and these are most of what is written.
 
-All of that is packed and compressed here, so the tables' own compression is off: it
-would only hold buffers of whole pages outside the heap.
+Runs and texts are packed and compressed here, so the tables' own compression is off: it
+would only hold buffers of whole pages outside the heap.  What chunks send to buckets and
+get back are pieces that grow in number with the square of the text and become small; then
+they are plain records, with no step for each piece.
 
 Chunks of documents travel with their texts, packed, so the words that stay are cut out
 where the decisions about a chunk meet, without another look at the table.
@@ -47,8 +49,10 @@ BLOCK_WORDS = 1 << 16
 BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 48
 #: Batches that a table is taken in, and runs of a level before they are merged.
 BATCHES, FANOUT = 10, 4
-#: Bytes of rows that go from Python to Spark at a time.
+#: Bytes of rows, more or less, that go from Python to Spark at a time.
 BATCH_BYTES = 1 << 20
+#: Windows that the pieces of a chunk have at least, on average, to be worth packing.
+PIECE = 512
 NO_ID = -(1 << 63)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -144,15 +148,12 @@ def _unplanes(data: bytes, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
-def _framed(n: int, planes: bytes | np.ndarray) -> bytes:
-    return struct.pack("<Q", n) + zstandard.ZstdCompressor(level=1).compress(planes)
-
-
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of one length, the first ascending, by bytes of equal weight."""
     n = len(columns[0])
     first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    return _framed(n, b"".join(_planes(x) for x in (first, *columns[1:])))
+    body = b"".join(_planes(x) for x in (first, *columns[1:]))
+    return struct.pack("<Q", n) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -167,14 +168,73 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _chunk_rows(name: str, docs: list[tuple[int, bytes]], size: int, buckets: int):
+_ROW = "kind int, bucket long, chunk string, data binary, docs binary"
+_NAMES = ["kind", "bucket", "chunk", "data", "docs"]
+#: What plain records say of themselves: their chunk's least id, and the bytes of an index
+#: and of an id less that one.  Nothing packed is as short.
+_HEAD = np.dtype([("least", "<i8"), ("index", "u1"), ("id", "u1")])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _NAMES)
+
+
+def _width(x: np.ndarray) -> int:
+    """Bytes that hold each of x, two at least."""
+    return max(2, (int(x.max(initial=0)).bit_length() + 7) // 8)
+
+
+def _narrow(*columns: tuple[np.ndarray, int]) -> np.ndarray:
+    """One row of bytes for each place of the columns, of the width given with each."""
+    return np.concatenate([x.view(np.uint8).reshape(len(x), x.itemsize)[:, :width] for x, width in columns], axis=1)
+
+
+def _wide(records: np.ndarray, at: int, width: int, kind: str) -> np.ndarray:
+    """The column of ``width`` bytes that begins at byte ``at``."""
+    out = np.zeros((len(records), np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = records[:, at : at + width]
+    return out.view(kind).ravel()
+
+
+def _cut(records: np.ndarray, cuts: np.ndarray, kind: int, buckets: np.ndarray, chunks: list[str], head: bytes) -> Iterator[pa.RecordBatch]:
+    """A row for the records between two cuts each, in batches of about BATCH_BYTES.  There
+    are as many rows as chunks times buckets, so nothing is done for one row at a time."""
+    at = cuts * records.shape[1]
+    turns = np.flatnonzero(np.diff(at[:-1] // BATCH_BYTES, prepend=-1))
+    for i, j in zip(turns.tolist(), [*turns[1:].tolist(), len(buckets)]):
+        offsets = pa.py_buffer((at[i : j + 1] - at[i]).astype(np.int32))
+        data = pa.Array.from_buffers(pa.binary(), j - i, [None, offsets, pa.py_buffer(np.ascontiguousarray(records[cuts[i] : cuts[j]]))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, kind, np.int32)), pa.array(buckets[i:j].astype(np.int64)), pa.array(chunks[i:j], pa.string()), data, pa.array([head] * (j - i), pa.binary())], _NAMES)
+
+
+def _pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, one value after the other, and where each begins."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    values = column.buffers()[2]
+    return np.frombuffer(values or b"", np.uint8), at
+
+
+def _indices(data: pa.Array, heads: pa.Array) -> np.ndarray:
+    """The indices in rows of kind 2, each with their width in bytes as its head."""
+    values, at = _pieces(data)
+    width = np.frombuffer(b"".join(heads.to_pylist()), np.uint8)
+    parts = [np.zeros(0, np.uint32)]
+    for w in np.unique(width).tolist():
+        own = np.concatenate([values[at[k] : at[k + 1]] for k in np.flatnonzero(width == w).tolist()])
+        parts.append(_wide(own.reshape(-1, w), 0, w, "<u4"))
+    return np.concatenate(parts)
+
+
+def _chunk_batches(name: str, docs: list[tuple[int, bytes]], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (kind, bucket, chunk, data, docs) of a chunk: its texts, its windows that come
     later in it than equal ones, and the others for each bucket."""
     docs.sort(key=lambda d: d[0])
     ids = np.array([d[0] for d in docs], np.int64)
     lengths = np.array([len(d[1]) for d in docs], np.uint64)
     blob = struct.pack("<Q", len(docs)) + zstandard.ZstdCompressor(level=3).compress(ids.tobytes() + lengths.tobytes() + b"".join(d[1] for d in docs))
-    yield 1, 0, name, blob, b""
+    yield _batch([(1, 0, name, blob, b"")])
     words, others, at = word_hashes(b"\n".join(d[1] for d in docs))
     begins = np.cumsum(lengths.astype(np.int64) + 1) - lengths.astype(np.int64) - 1
     first_word = np.searchsorted(at, begins)
@@ -187,40 +247,29 @@ def _chunk_rows(name: str, docs: list[tuple[int, bytes]], size: int, buckets: in
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
     if len(later := np.sort(index[~first])):
-        yield 2, 0, name, pack(later), b""
+        width = _width(later)
+        yield from _cut(_narrow((later, width)), np.array([0, len(later)]), 2, np.zeros(1, np.int64), [name], bytes([width]))
     h, check, index = h[first], check[first], index[first]
+    if not len(h):
+        return
+    doc = doc[index]
     bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    there = np.flatnonzero(cuts[1:] > cuts[:-1])
-    steps = np.diff(h, prepend=np.uint64(0))
-    steps[cuts[there]] = h[cuts[there]]
-    body = np.concatenate([x.view(np.uint8).reshape(len(h), x.itemsize) for x in (steps, check, index)], axis=1)
-    doc, first_word = doc[index], first_word.astype(np.uint32)
-    for b in there.tolist():
-        part = slice(cuts[b], cuts[b + 1])
-        own = np.flatnonzero(np.bincount(doc[part]))
-        yield 0, b, name, _framed(cuts[b + 1] - cuts[b], np.ascontiguousarray(body[part].T)), pack(first_word[own], ids[own])
-
-
-_ROW = "kind int, bucket long, chunk string, data binary, docs binary"
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["kind", "bucket", "chunk", "data", "docs"])
-
-
-def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of at most BATCH_BYTES, or of one row: each batch has a cost of its
-    own on both sides, and most rows are small."""
-    held, size = [], 0
-    for row in rows:
-        more = len(row[3]) + len(row[4])
-        if held and size + more > BATCH_BYTES:
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    there, cuts = bucket[cuts], np.append(cuts, len(h))
+    if len(h) < PIECE * len(there):
+        above = (ids.view(np.uint64) - ids[:1].view(np.uint64))[doc]  # ids ascend
+        widths = _width(index), _width(above)
+        records = _narrow((h, 8), (check, 3), (index, widths[0]), (above, widths[1]))
+        yield from _cut(records, cuts, 0, there, [name] * len(there), np.array([(ids[0], *widths)], _HEAD).tobytes())
+        return
+    first_word, held, weight = first_word.astype(np.uint32), [], 0
+    for b, i, j in zip(there.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+        own = np.flatnonzero(np.bincount(doc[i:j]))
+        held.append((0, b, name, pack(h[i:j], check[i:j], index[i:j]), pack(first_word[own], ids[own])))
+        weight += len(held[-1][3])
+        if weight >= BATCH_BYTES:
             yield _batch(held)
-            held, size = [], 0
-        held.append(row)
-        size += more
+            held, weight = [], 0
     if held:
         yield _batch(held)
 
@@ -240,23 +289,37 @@ def _in_run(h: np.ndarray, check: np.ndarray, run_h: np.ndarray, run_check: np.n
     return out
 
 
-def _merge_bucket(bucket: int, entries: list[dict], runs: list[bytes]):
+def _merge_bucket(bucket: int, entries: pa.Array, runs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Rows of the merge join in one bucket: the new run's block, and each chunk's repeats."""
-    cols = [unpack(e["data"], "<u8", "<u4", "<u4") for e in entries]
-    sizes = [len(c[0]) for c in cols]
-    h, check, index = (np.concatenate([c[i] for c in cols]) for i in range(3))
-    names = sorted(e["chunk"] for e in entries)
-    number = np.array([names.index(e["chunk"]) for e in entries])
-    entry = np.repeat(np.arange(len(entries), dtype=np.int32), sizes)
+    chunks, heads = (entries.field(x).to_pylist() for x in ("chunk", "docs"))
+    names = sorted(chunks)
+    rank = {name: i for i, name in enumerate(names)}
+    number = np.array([rank[name] for name in chunks])
+    plain = np.array([len(x) == _HEAD.itemsize for x in heads])
+    parts, entry = [], []
+    for e in np.flatnonzero(~plain).tolist():
+        parts.append([*unpack(entries.field("data")[e].as_py(), "<u8", "<u4", "<u4"), None])
+        parts[-1][3] = np.zeros(len(parts[-1][0]), np.int64)
+        entry.append(np.full(len(parts[-1][0]), e))
+    head = np.zeros(len(heads), _HEAD)
+    head[plain] = np.frombuffer(b"".join(x for x, p in zip(heads, plain) if p), _HEAD)
+    values, begin = _pieces(entries.field("data"))
+    for wi, wd in set(zip(head["index"][plain].tolist(), head["id"][plain].tolist())):
+        own = np.flatnonzero(plain & (head["index"] == wi) & (head["id"] == wd))
+        records = np.concatenate([values[begin[e] : begin[e + 1]] for e in own.tolist()]).reshape(-1, 11 + wi + wd)
+        parts.append([_wide(records, at, width, to) for at, width, to in ((0, 8, "<u8"), (8, 3, "<u4"), (11, wi, "<u4"), (11 + wi, wd, "<i8"))])
+        entry.append(np.repeat(own, (begin[own + 1] - begin[own]) // records.shape[1]))
+    h, check, index, ids = (np.concatenate(x) for x in zip(*parts))
+    entry = np.concatenate(entry)
     order = np.argsort(h)
     at = _tied(h[order])
     tied = order[at]
-    ids = np.zeros(len(tied), np.int64)  # of the documents; only equal windows need them
+    ids = head["least"][entry[tied]] + ids[tied]  # only equal windows need them
     by = np.argsort(entry[tied], kind="stable")
-    cuts = np.searchsorted(entry[tied[by]], np.arange(len(entries) + 1))
-    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        start, own = unpack(entries[k]["docs"], "<u4", "<i8")
-        of = by[cuts[k] : cuts[k + 1]]
+    cuts = np.searchsorted(entry[tied[by]], np.arange(len(heads) + 1))
+    for e in np.flatnonzero(~plain & (cuts[1:] > cuts[:-1])).tolist():
+        start, own = unpack(heads[e], "<u4", "<i8")
+        of = by[cuts[e] : cuts[e + 1]]
         ids[of] = own[np.searchsorted(start, index[tied[of]], "right") - 1]
     order[at] = tied[np.lexsort((index[tied], number[entry[tied]], ids, check[tied], h[tied]))]
     h, check, index, chunk = h[order], check[order], index[order], number[entry[order]]
@@ -268,11 +331,14 @@ def _merge_bucket(bucket: int, entries: list[dict], runs: list[bytes]):
         run_h, run_check = unpack(data, "<u8", "<u4")
         new[at[_in_run(h[at], check[at], run_h, run_check)]] = False
     if new.any():
-        yield 0, bucket, "", pack(h[new], check[new]), b""
+        block = np.frombuffer(pack(h[new], check[new]), np.uint8)[:, None]
+        yield from _cut(block, np.array([0, len(block)]), 0, np.array([bucket]), [""], b"")
     repeated = np.sort(chunk[~new].astype(np.uint64) << np.uint64(32) | index[~new])
-    cuts = np.searchsorted(repeated, np.arange(len(names) + 1, dtype=np.uint64) << np.uint64(32))
-    for c in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        yield 2, bucket, names[c], pack(repeated[cuts[c] : cuts[c + 1]].astype(np.uint32)), b""
+    if len(repeated):
+        of, index = (repeated >> np.uint64(32)).astype(np.int64), repeated.astype(np.uint32)
+        cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        width = _width(index)
+        yield from _cut(_narrow((index, width)), np.append(cuts, len(of)), 2, np.full(len(cuts), bucket), [names[c] for c in of[cuts].tolist()], bytes([width]))
 
 
 class Index:
@@ -327,8 +393,7 @@ class Index:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
-                    bucket, entries, runs = (c[i].as_py() for c in b.columns)
-                    yield from _batches(_merge_bucket(bucket, entries, runs))
+                    yield from _merge_bucket(b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].as_py())
 
         return rows.select("bucket", "entries", runs.alias("runs")).mapInArrow(lean(run), _ROW)
 
@@ -348,31 +413,30 @@ def _rows_of(docs: DataFrame, size: int, buckets: int, chunk_words: int) -> Data
                 held.append((NO_ID if doc is None else doc, data))
                 weight += len(data)
                 if weight >= 6 * chunk_words:  # a word takes six bytes, more or less
-                    yield from _batches(_chunk_rows(uuid.uuid4().hex, held, size, buckets))
+                    yield from _chunk_batches(uuid.uuid4().hex, held, size, buckets)
                     held, weight = [], 0
         if held:
-            yield from _batches(_chunk_rows(uuid.uuid4().hex, held, size, buckets))
+            yield from _chunk_batches(uuid.uuid4().hex, held, size, buckets)
 
     return docs.mapInArrow(lean(run), _ROW)
 
 
 def _cut_out(texts: DataFrame, repeats: DataFrame, size: int) -> DataFrame:
     """Chunks of texts and their repeated windows -> (doc_id, text, n_words, n_removed)."""
-    found = repeats.groupBy("chunk").agg(F.collect_list("data").alias("windows"))
+    found = repeats.groupBy("chunk").agg(F.collect_list(F.struct("data", "docs")).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                data, windows = b.column(0)[i].as_py(), b.column(1)[i].as_py() or []
+                data, windows = b.column(0)[i].as_py(), b.column(1)[i].values
                 (n,) = struct.unpack_from("<Q", data)
                 body = zstandard.ZstdDecompressor().decompress(data[8:])
                 ids, lengths = np.frombuffer(body, "<i8", n), np.frombuffer(body, "<u8", n, 8 * n)
-                starts = [unpack(x, "<u4")[0] for x in windows]
+                starts = np.zeros(0, np.int64) if windows is None else _indices(windows.field("data"), windows.field("docs")).astype(np.int64)
                 at, word, out = 16 * n, 0, []
-                steps = np.zeros(max([0, *(int(s[-1]) + size for s in starts)]) + 1, np.int32)
-                for s in starts:
-                    np.add.at(steps, s, 1)
-                    np.add.at(steps, s + size, -1)
+                steps = np.zeros(int(starts.max(initial=-1)) + size + 1, np.int32)
+                steps[starts] += 1  # each window is in one row alone
+                steps[starts + size] -= 1
                 gone = np.cumsum(steps) > 0
                 for doc, length in zip(ids.tolist(), lengths.tolist()):
                     words = body[at : at + length].split()
@@ -442,4 +506,4 @@ def dedup(df: DataFrame, scratch: Scratch, size: int = 20, batches: int = BATCHE
         repeats += [chunked, joined]
     if index is None:
         own.drop()
-    return _cut_out(kind(texts, 1).select("chunk", "data"), kind(repeats, 2).select("chunk", "data"), size)
+    return _cut_out(kind(texts, 1).select("chunk", "data"), kind(repeats, 2).select("chunk", "data", "docs"), size)
