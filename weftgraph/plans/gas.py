@@ -7,7 +7,8 @@ turns a round into
     frontier(src, msg) join edges on src -> group by dst, combine -> left join on id
 
 and cuts the lineage after it; how many vertices became active is observed in the job that
-computes the round, so a round costs one job.  Vertices that got no message keep their
+computes the round, so a round of a stationary program costs one job; other programs' plans
+adapt to their frontier, in a job for each shuffle.  Vertices that got no message keep their
 state: the join is a left join and apply holds only where something arrived.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
-from weftgraph.plans.scratch import cut, uncut
+from weftgraph.plans.scratch import cut, fixed_plans, uncut
 
 Combine = Callable[[Column], Column]
 
@@ -94,6 +95,14 @@ def run(program: VertexProgram, graph: Graph, max_iters: int | None = None, defe
     follow each other on one graph or on a graph and its reversal.  subset(id) limits who
     sends at first.
     """
+    if program.stationary:
+        # the frontier is all vertices in every round, so there is nothing to adapt to
+        with fixed_plans(graph.edges.sparkSession):
+            return _rounds(program, graph, max_iters, defer_sinks, state, subset, limit)
+    return _rounds(program, graph, max_iters, defer_sinks, state, subset, limit)
+
+
+def _rounds(program: VertexProgram, graph: Graph, max_iters: int | None, defer_sinks: bool, state: DataFrame | None, subset: DataFrame | None, limit: int) -> DataFrame:
     vertices = state if state is not None else graph.vertices
     first = program.initialise(vertices, subset)
     if program.stationary or defer_sinks:
@@ -106,7 +115,10 @@ def run(program: VertexProgram, graph: Graph, max_iters: int | None = None, defe
         to_sinks = edges.join(sinks, "dst", "left_semi")
         edges = edges.join(sinks, "dst", "left_anti")
     # dealt by source once, so that a round shuffles messages and not edges
-    edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").persist()
+    edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src")
+    # of plans that are run as they are, the cut table has the dealing by source for all rounds
+    dealt = cut(edges) if program.stationary else edges
+    edges = dealt.persist()
     snapshot = now if program.uses_dst_state else None
     start = now.where("active")
     rounds = 0
@@ -124,6 +136,8 @@ def run(program: VertexProgram, graph: Graph, max_iters: int | None = None, defe
         if not max_iters:
             raise RuntimeError(f"the program did not converge in {limit} rounds")
     edges.unpersist()
+    if program.stationary:
+        uncut(dealt)
     if defer:
         senders = now.where("kind = 'regular'").unionByName(start.where("kind = 'source'"))
         now = absorb(program, now, accumulate(program, senders, to_sinks, snapshot), rounds, sources=False).drop("moved")

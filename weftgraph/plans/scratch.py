@@ -8,9 +8,11 @@ is a folder of our own set.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -107,3 +109,16 @@ def uncut(df: DataFrame) -> None:
     file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if file.isDefined():
         _delete(df.sparkSession, file.get())
+
+
+@contextlib.contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside are run as they are: one job each, not one a shuffle, and tables
+    that cut() makes keep their partitioning, which adaptive plans lose."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
