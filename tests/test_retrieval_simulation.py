@@ -89,3 +89,15 @@ def test_dictionary_and_doc_ids(spark):
     assert names == {"a": 1, "b": 2, "c": 3, "ä": 4}
     assert sorted(tuple(r) for r in edges.collect()) == [(1, 2, 2), (2, 1, 1), (3, 1, 4), (3, 3, 1), (4, 4, 1)]
     assert corpus.postings_of(spark.createDataFrame([(0, "A b,a"), (1, None), (2, "")], "doc_id long, text string")).where(F.col("term") == "a").first().tf == 2
+
+
+def test_postings_of_a_part_do_not_meet_in_one_task(spark):
+    rows = spark.range(4000).selectExpr("int(id % 2) AS part", "id AS doc_id", "'a' AS term", "1L AS tf")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for larger tables
+    try:
+        moved = corpus.global_doc_ids(rows, spark.createDataFrame([(0, 9000), (1, 9000)], "part int, n_docs long"))
+        per_task = [n for (n,) in moved.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert max(per_task) <= 4000 / 4

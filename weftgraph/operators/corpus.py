@@ -23,7 +23,7 @@ def global_doc_ids(postings: DataFrame, counts: DataFrame | None = None) -> Data
     """
     counts = counts if counts is not None else postings.groupBy("part").agg(F.countDistinct("doc_id").alias("n_docs"))
     before = counts.select("part", (F.sum("n_docs").over(Window.orderBy("part")) - F.col("n_docs")).alias("before"))
-    return postings.join(before, "part").withColumn("doc_id", F.col("doc_id") + F.col("before")).drop("before")
+    return postings.join(F.broadcast(before), "part").withColumn("doc_id", F.col("doc_id") + F.col("before")).drop("before")
 
 
 def term_dictionary(postings: DataFrame, n_docs: int = 0) -> DataFrame:
