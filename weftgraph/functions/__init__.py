@@ -23,10 +23,15 @@ def random_weight(src: Column | str, dst: Column | str, seed: int = 1, most: int
     return (F.floor(mixed / 1024).cast("long") % most + 1).cast("long")
 
 
+def pieces(text: Column | str) -> Column:
+    """tokens() with empty entries where a text begins or ends with none."""
+    return F.split(F.lower(text), NOT_WORD)
+
+
 def tokens(text: Column | str) -> Column:
     """Runs of digits, a-z and characters past ASCII after lower-casing, as an array
     without empty entries."""
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda x: x != "")
+    return F.filter(pieces(text), lambda x: x != "")
 
 
 def string_hash(text: Column | str, multiplier: int = 31, both_ways: bool = False) -> Column:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions import tokens
+from weftgraph.functions import pieces
 from weftgraph.plans.scratch import cut
 
 
 def postings_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_id: int = 1) -> DataFrame:
-    """(doc, term, tf) of texts; the smallest id is first_id if ids begin at 0."""
-    words = documents.select((F.col(id_col) + first_id).alias("doc"), F.explode(tokens(text_col)).alias("term"))
+    """(doc, term, tf) of texts; the smallest id is first_id if ids begin at 0.
+
+    Texts are dealt by document before they are split, so their words are counted where
+    they are: a text is smaller than its postings, and postings stay dealt by document.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = documents.select((F.col(id_col) + first_id).alias("doc"), F.col(text_col).alias("__text")).repartition(parts, "doc")
+    words = dealt.select("doc", F.explode(pieces("__text")).alias("term")).where("term <> ''")
     return words.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
