@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,27 @@ def test_postings_of_a_part_do_not_meet_in_one_task(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert max(per_task) <= 4000 / 4
+
+
+def _dealt_by(df):
+    """The columns by which a plan deals rows, in turn."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    texts = spark.createDataFrame([(0, "a b,a"), (1, None), (2, ""), (0, "b  c")], "doc_id long, text string")
+    found = corpus.postings_of(texts)
+    assert _dealt_by(found) == ["doc"]
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 2), (1, "b", 2), (1, "c", 1)]
+
+
+def test_scores_of_a_document_come_from_one_task(spark, postings, queries):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for larger tables
+    try:
+        hits = retrieval._matches(postings, retrieval.query_terms(queries), 7)
+        dealt = _dealt_by(hits.groupBy("qid", "doc").agg(F.sum("tf")))
+        assert not any("doc" in x for x in dealt)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.scratch import cut
+from weftgraph.plans.scratch import cut, fixed_plans
 
+#: Query terms of a batch that are sent to all tasks.
+FEW = 1_000_000
 K1, B, MU = 1.2, 0.75, 2000.0
 
 
@@ -50,14 +52,23 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
 
 def _matches(postings: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
     """Postings of the queries' distinct known terms, with the document's length and the
-    collection's tokens.  Only documents and terms that some query needs are kept; the
-    postings, which four parts of the plan read, are made once."""
-    postings = cut(postings)
-    asked = terms.select("qid", "term").distinct()
-    hits = postings.join(asked, "term")
-    stats = collection_stats(postings, n_docs)
-    of_term = term_stats(postings.join(asked.select("term").distinct(), "term", "left_semi"))
-    return hits.join(of_term, "term").join(doc_stats(postings), "doc").crossJoin(F.broadcast(stats))  # one row
+    collection's tokens.
+
+    One pass over the postings makes a row a document: its length, and its postings of terms
+    that some query has.  These rows are written, still dealt by document, and the other
+    parts of the plan read just them; scores of a document come from one task.
+    """
+    asked = cut(terms.select("qid", "term").distinct())
+    few = asked.count() <= FEW
+    small = F.broadcast if few else lambda df: df
+    with fixed_plans(postings.sparkSession):
+        flagged = postings.join(small(asked.select("term").distinct().withColumn("__asked", F.lit(True))), "term", "left")
+        own = F.collect_list(F.when(F.col("__asked"), F.struct("term", "tf"))).alias("hits")  # skips nulls
+        docs = cut(flagged.groupBy("doc").agg(F.sum("tf").cast("long").alias("length"), own))
+    stats = docs.agg(F.sum("length").alias("n_tokens")).withColumn("mean_length", F.col("n_tokens") / F.lit(n_docs))
+    hits = docs.select("doc", "length", F.inline("hits"))
+    weighed = asked.join(term_stats(hits), "term")  # every document of an asked term is among them
+    return hits.join(small(weighed), "term").crossJoin(F.broadcast(stats))  # one row
 
 
 def bm25(postings: DataFrame, queries: DataFrame, n_docs: int, k: int, digits: int | None = None) -> DataFrame:
